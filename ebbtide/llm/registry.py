@@ -1,8 +1,10 @@
 """The corpus queries by name, and SQL where it can express them."""
 
-from . import quality
+from . import chat, quality, secrets
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_chat_formatting": chat.op2_chat_formatting,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 SQL = {
