@@ -1,11 +1,12 @@
 """The corpus queries by name, and SQL where it can express them."""
 
-from . import chat, quality, secrets, simhash
+from . import chat, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
 }
 SQL = {
