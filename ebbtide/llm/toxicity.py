@@ -37,7 +37,7 @@ MAX_CANDIDATES = 20_000
 MAX_TERMS = 256
 MIN_POSITIVE = 5
 MIN_POSITIVE_SHARE = 0.01
-MIN_LOG_ODDS = math.log(8)
+MIN_LOG_ODDS = math.log(20)
 STEMS = range(4, 8)
 WINDOW = 5
 MEMO_WORDS = 400_000
@@ -262,12 +262,12 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model of labelled documents that are not held out, at most ``train_rows`` of them, drawn by a hash of doc_id."""
+    """A model of labelled documents that are not held out, at most ``train_rows`` of them, drawn by a hash of doc_id; exact copies count once."""
     bounded_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("__id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("__id")))
     picked = marks.groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id"), "__id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = scratch.save(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "toxic"), "train")
+    sample = scratch.save(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "toxic").dropDuplicates(), "train")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_positive, n_negative = sizes.get(1, 0), sizes.get(0, 0)
     if not n_positive or not n_negative:
