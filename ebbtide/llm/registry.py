@@ -1,6 +1,6 @@
 """The corpus queries by name, and SQL where it can express them."""
 
-from . import chat, quality, secrets, simhash, toxicity
+from . import bpe, chat, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_byte_bpe": bpe.op7_byte_bpe,
 }
 SQL = {
     "op6_quality_rules": quality.OP6_SQL,
