@@ -1,6 +1,6 @@
 """The corpus queries by name, and SQL where it can express them."""
 
-from . import bpe, chat, quality, secrets, simhash, toxicity
+from . import bpe, chat, packing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -9,6 +9,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_byte_bpe": bpe.op7_byte_bpe,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 SQL = {
     "op6_quality_rules": quality.OP6_SQL,
