@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, as_texts, table, tokenizer_file, without_gc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-MAX_STATES = 250_000
-MAX_PIECES = 240_000
+MAX_STATES = 400_000
+MAX_PIECES = 700_000
 DECODE_STEP = 4_096
 
 
