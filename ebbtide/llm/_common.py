@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
+
 BATCH_BYTES = 16 << 20
 
 
@@ -21,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
-    """Bound what one Arrow batch carries to Python, however long its texts are."""
+    """Bound what one Arrow batch carries to Python, however long its texts are, and let the executors import this package."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("bB")) > limit:
         spark.conf.set(key, str(limit))

@@ -289,13 +289,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(fps: DataFrame, scratch: Scratch) -> DataFrame:
-    """``fps`` (doc_id, fp, any other key) with ``component_id``, the smallest doc_id reachable over links."""
+    """``fps`` (doc_id, fp, any other key) with ``root``, a fingerprint that names the component, and ``component_id``, the smallest doc_id reachable over links."""
     distinct = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(near_links(distinct), scratch)
     tied = distinct.join(roots, distinct["fp"] == roots["node"])
     lowest = tied.groupBy("root").agg(F.min("first").alias("component_id"))
-    renamed = scratch.save(tied.select(F.col("fp").alias("tied_fp"), F.col("root").alias("tied_root")).join(lowest, F.col("tied_root") == lowest["root"]).select("tied_fp", "component_id"), "components")
-    named = distinct.join(renamed, distinct["fp"] == renamed["tied_fp"], "left").select(F.col("fp").alias("named_fp"), F.coalesce("component_id", "first").alias("component_id"))
+    renamed = scratch.save(tied.select(F.col("fp").alias("tied_fp"), F.col("root").alias("tied_root")).join(lowest, F.col("tied_root") == lowest["root"]).select("tied_fp", "tied_root", "component_id"), "components")
+    linked = F.col("tied_fp").isNotNull()
+    named = distinct.join(renamed, distinct["fp"] == renamed["tied_fp"], "left").select(
+        F.col("fp").alias("named_fp"), F.when(linked, F.col("tied_root")).otherwise(F.col("fp")).alias("root"), F.when(linked, F.col("component_id")).otherwise(F.col("first")).alias("component_id")
+    )
     return fps.join(named, fps["fp"] == named["named_fp"]).drop("named_fp")
 
 
@@ -312,7 +315,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     fps = scratch.save(with_fingerprints(numbered, "doc_id", "__row"), "fingerprints")
     joined = near_duplicates(fps, scratch)
-    best = joined.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
+    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
     kept = scratch.save(best.select(F.col("best.__row").alias("__kept")), "kept")
     return numbered.join(kept, numbered["__row"] == kept["__kept"], "left_semi").select(*docs.columns)
 
