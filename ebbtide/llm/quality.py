@@ -13,7 +13,7 @@ own; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, as_bytes, bounded_batches, table
+from ._common import arrow_map, as_bytes, table
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -31,6 +31,7 @@ MAX_DUP_LINE_SHARE = 0.5
 WORD_CHARS_RANGE = (2, 30)
 MAX_NON_LETTER_SHARE = 0.5
 SAMPLE_ROWS = 512
+SAMPLE_BYTES = 64 << 10
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
@@ -142,34 +143,16 @@ def cascade(block: Block, order: list[str]) -> np.ndarray:
 
 
 def rule_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second on at most ``sample_rows`` rows; only the figures reach the driver."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rejected, spent = 0, dict.fromkeys(RULES, 0), dict.fromkeys(RULES, 0)
-        for batch in batches:
-            texts = as_bytes(batch.column(0))
-            at = np.arange(len(texts))
-            seen += len(texts)
-            for name, rejects in RULES.items():
-                fresh = Block(texts)
-                began = time.perf_counter_ns()
-                rejected[name] += int(rejects(fresh, at).sum())
-                spent[name] += time.perf_counter_ns() - began
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(RULES)), pa.array([seen] * len(RULES), pa.int64()), pa.array(list(rejected.values()), pa.int64()), pa.array(list(spent.values()), pa.int64())],
-            names=["rule", "seen", "rejected", "spent"],
-        )
-
-    bounded_batches(docs.sparkSession)
-    rows = (
-        docs.select(F.col(text).alias("text")).limit(sample_rows)
-        .mapInArrow(measure, "rule string, seen long, rejected long, spent long")
-        .groupBy("rule").agg(F.sum("seen").alias("seen"), F.sum("rejected").alias("rejected"), F.sum("spent").alias("spent"))
-        .collect()
-    )  # one row per rule
-    worth = {r["rule"]: (r["rejected"] + 0.5) / (r["seen"] + 1) / max(r["spent"], 1) * max(r["seen"], 1) for r in rows}
+    """Rule names by rejections per second on a sample: the first ``sample_rows`` texts of up to ``SAMPLE_BYTES`` each that Spark comes by."""
+    short = docs.select(F.col(text).cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    texts = [(r["text"] or "").encode("utf-8", "surrogatepass") for r in short.limit(sample_rows).collect()]  # bounded in rows and bytes
+    every, worth = np.arange(len(texts)), {}
+    for name, rejects in RULES.items():
+        fresh, began = Block(texts), time.perf_counter_ns()
+        rejected = int(rejects(fresh, every).sum()) if len(texts) else 0
+        worth[name] = (rejected + 0.5) / max(time.perf_counter_ns() - began, 1)
     names = list(RULES)
-    return sorted(names, key=lambda n: (-worth.get(n, 0), names.index(n)))
+    return sorted(names, key=lambda n: (-worth[n], names.index(n)))
 
 
 def quality_report(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
