@@ -1 +1 @@
-
+"""Column functions and the array functions behind them."""

@@ -1,4 +1,583 @@
-"""Queries of the library and their SQL, by name."""
+"""Queries of the library over the driver's tables, and their SQL, by name.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Where a table stands in for the library's own data: lineitem is a ridge problem with
+x = quantity, y = price / 1000 and the return flags A, N, R as domains 0, 1, 2;
+embeddings are 64-wide features with y = label + 1, domains vec_id mod 3 and every
+fifth of a domain as test rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import forgetting as fg
+from ..functions.grids import dct_basis, gaussian_matrix, target_transform
+from ..functions.names import age_in_name, digest_key, extension, flat_key, stem
+from ..functions.vectors import blend, cosine, predict
+from ..operators import metrics, pairing, sampling
+from ..operators.solve import ridge_two
+from ..operators.stats import decayed, long_statistics
+from ..sources import configs, points, sinks
+from .experiments import Experiment, best_factors, samples_of, summaries
+
+LAM = 100.0
+GRID_SIDE = 8
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has any."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[fn.__name__] = fn
+        if sql is not None:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+# -- lineitem as a ridge problem
+
+FLAG_DOMAIN = "CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"
+LINES_SQL = f"l AS (SELECT {FLAG_DOMAIN} AS d, l_orderkey AS s, l_linenumber AS p, l_quantity AS x, l_extendedprice / 1000.0 AS y FROM lineitem)"
+STATS_SQL = LINES_SQL + ", st AS (SELECT d, sum(x*x) AS a, sum(x) AS b, count(*)::DOUBLE AS n, sum(x*y) AS p, sum(y) AS q, sum(y*y) AS yy FROM l GROUP BY d)"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(d, s, p, x, y)."""
+    return table(spark, sf_dir, "lineitem").select(F.expr(FLAG_DOMAIN).alias("d"), F.col("l_orderkey").alias("s"), F.col("l_linenumber").alias("p"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000.0).alias("y"))
+
+
+def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_statistics(lines(spark, sf_dir).withColumn("x", F.array("x")), ["d"])
+
+
+def boundaries(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(0, 1.0), (1, 0.6), (2, 0.8)], "t int, f double")
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t, w1, w0) with decay 0.6."""
+    return ridge_two(decayed(line_cells(spark, sf_dir), "d", boundaries(spark), 0.6), ["t"], LAM)
+
+
+FIT_SQL = STATS_SQL + """,
+dec AS (SELECT t.d AS t, sum(pow(0.6, t.d - s.d) * a) AS a, sum(pow(0.6, t.d - s.d) * b) AS b, sum(pow(0.6, t.d - s.d) * n) AS n,
+               sum(pow(0.6, t.d - s.d) * p) AS p, sum(pow(0.6, t.d - s.d) * q) AS q
+        FROM (SELECT DISTINCT d FROM st) t JOIN st s ON s.d <= t.d GROUP BY t.d),
+w AS (SELECT t, ((n + 100) * p - b * q) / ((a + 100) * (n + 100) - b * b) AS w1, ((a + 100) * q - b * p) / ((a + 100) * (n + 100) - b * b) AS w0 FROM dec)"""
+
+
+@query(f"WITH {FIT_SQL} SELECT t, round(w1, 8) AS w1, round(w0, 8) AS w0 FROM w")
+def ridge2_decay(spark, sf_dir):
+    return fitted(spark, sf_dir).select("t", F.round("w1", 8).alias("w1"), F.round("w0", 8).alias("w0"))
+
+
+@query(f"""WITH {STATS_SQL}
+SELECT d, kind, i::INT AS i, j::INT AS j, round(v / 1000, 4) AS v FROM (
+  SELECT d, 'r' AS kind, 0 AS i, 0 AS j, a AS v FROM st UNION ALL SELECT d, 'r', 0, 1, b FROM st UNION ALL SELECT d, 'r', 1, 1, n FROM st
+  UNION ALL SELECT d, 'c', 0, -1, p FROM st UNION ALL SELECT d, 'c', 1, -1, q FROM st
+  UNION ALL SELECT d, 'yy', -1, -1, yy FROM st UNION ALL SELECT d, 'y', -1, -1, q FROM st UNION ALL SELECT d, 'n', -1, -1, n FROM st)""")
+def suffstats_long(spark, sf_dir):
+    return line_cells(spark, sf_dir).select("d", "kind", "i", "j", F.round(F.col("v") / 1000, 4).alias("v"))
+
+
+@query(f"WITH {FIT_SQL} SELECT t, round(a / 1000, 4) AS a, round(b / 1000, 4) AS b, round(n / 1000, 4) AS n, round(p / 1000, 4) AS p, round(q / 1000, 4) AS q FROM dec")
+def decayed_stats(spark, sf_dir):
+    cells = decayed(line_cells(spark, sf_dir), "d", boundaries(spark), 0.6)
+    at = lambda kind, i, j: F.round(F.sum(F.when((F.col("kind") == kind) & (F.col("i") == i) & (F.col("j") == j), F.col("v"))) / 1000, 4)
+    return cells.groupBy("t").agg(at("r", 0, 0).alias("a"), at("r", 0, 1).alias("b"), at("r", 1, 1).alias("n"), at("c", 0, -1).alias("p"), at("c", 1, -1).alias("q"))
+
+
+@query(f"""WITH {STATS_SQL}, g(t, f) AS (VALUES (0, 1.0::DOUBLE), (1, 0.6::DOUBLE), (2, 0.8::DOUBLE)),
+w AS (SELECT x.t AS t, y.t AS d, coalesce((SELECT product(f) FROM g z WHERE z.t > y.t AND z.t <= x.t), 1.0) AS w FROM g x JOIN g y ON y.t <= x.t)
+SELECT w.t, round(sum(w * p) / 1000, 4) AS p, round(sum(w * n) / 1000, 4) AS n FROM w JOIN st USING (d) GROUP BY w.t""")
+def variable_decay(spark, sf_dir):
+    cells = decayed(line_cells(spark, sf_dir), "d", boundaries(spark))
+    at = lambda kind, i: F.round(F.sum(F.when((F.col("kind") == kind) & (F.col("i") == i), F.col("v"))) / 1000, 4)
+    return cells.groupBy("t").agg(at("c", 0).alias("p"), at("n", -1).alias("n"))
+
+
+@query(f"WITH {LINES_SQL}, s AS (SELECT d, s, sum(y) AS total FROM l GROUP BY d, s) SELECT d, round(greatest(avg(total), 1e-6), 6) AS scale, round(avg(total), 6) AS plain FROM s GROUP BY d")
+def scale_by_domain(spark, sf_dir):
+    rows = lines(spark, sf_dir)
+    floored, plain = (metrics.domain_scale(rows, ["d"], "s", "y", f) for f in (metrics.SCALE_FLOOR, None))
+    return floored.join(plain.withColumnRenamed("scale", "plain"), "d").select("d", F.round("scale", 6).alias("scale"), F.round("plain", 6).alias("plain"))
+
+
+PRED_SQL = FIT_SQL + ", f AS (SELECT w1, w0 FROM w WHERE t = 2)"
+
+
+def scored(spark, sf_dir) -> DataFrame:
+    """Lines with the last model's unclipped prediction."""
+    return lines(spark, sf_dir).join(F.broadcast(fitted(spark, sf_dir).where("t = 2")), F.lit(True)).withColumn("pred", F.col("w1") * F.col("x") + F.col("w0"))  # one model row
+
+
+@query(f"""WITH {PRED_SQL}, e AS (SELECT d, s, avg((y - w1 * x - w0) * (y - w1 * x - w0)) AS e, count(*) AS n FROM l CROSS JOIN f GROUP BY d, s)
+SELECT d, round(sum(e * n) / sum(n), 6) AS weighted, round(avg(e), 6) AS unweighted, sum(n)::BIGINT AS n FROM e GROUP BY d""")
+def residual_energy(spark, sf_dir):
+    out = metrics.residual_energies(scored(spark, sf_dir), ["d"], "s", F.col("pred"), F.col("y"))
+    return out.select("d", F.round("weighted", 6).alias("weighted"), F.round("unweighted", 6).alias("unweighted"), "n")
+
+
+@query(f"""WITH {PRED_SQL}, v AS (SELECT d, greatest(w1 * x + w0, 0) AS p, y - 30 AS g FROM l CROSS JOIN f)
+SELECT d, round(avg(abs(p - g)), 6) AS mae, round(avg(abs(p - g)) / greatest(avg(g), 1e-6), 6) AS rel, round(avg(abs(p - g)) / greatest(avg(abs(g)), 1e-6), 6) AS rel_abs FROM v GROUP BY d""")
+def mae_relmae(spark, sf_dir):
+    rows = scored(spark, sf_dir).withColumns({"p": F.greatest("pred", F.lit(0.0)), "g": F.col("y") - 30})
+    p, g = F.col("p"), F.col("g")
+    return rows.groupBy("d").agg(F.round(metrics.mae(p, g), 6).alias("mae"), F.round(metrics.relative_mae(p, g), 6).alias("rel"), F.round(metrics.relative_mae(p, g, True), 6).alias("rel_abs"))
+
+
+MATRIX_SQL = FIT_SQL + ", m AS (SELECT w.t, l.d AS i, avg(abs(greatest(w1 * x + w0, 0) - y)) AS value FROM w JOIN l ON l.d <= w.t GROUP BY w.t, l.d)"
+
+
+def matrix(spark, sf_dir) -> DataFrame:
+    """(t, i, value): every model on every domain it has seen."""
+    models = fitted(spark, sf_dir)
+    pairs = pairing.seen_pairs(models, models.select(F.col("t").alias("i")))
+    told = lines(spark, sf_dir).join(F.broadcast(pairs.join(models, "t")), F.col("d") == F.col("i"))
+    return told.groupBy("t", "i").agg(metrics.mae(F.greatest(F.col("w1") * F.col("x") + F.col("w0"), F.lit(0.0)), F.col("y")).alias("value"))
+
+
+@query(f"WITH {MATRIX_SQL} SELECT t, i, round(value, 6) AS value FROM m")
+def triangular_matrix(spark, sf_dir):
+    return matrix(spark, sf_dir).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {MATRIX_SQL} SELECT round(avg(e.value), 6) AS final_avg, round(avg(CASE WHEN e.i < 2 THEN (o.value - e.value) / greatest(abs(o.value), 1e-12) END), 6) AS nbwt,
+round(max(CASE WHEN e.i = 0 THEN e.value END), 6) AS oldest, round(max(CASE WHEN e.i = 2 THEN e.value END), 6) AS newest
+FROM m e JOIN m o ON o.t = o.i AND o.i = e.i WHERE e.t = 2""")
+def bwt_matrix(spark, sf_dir):
+    out = metrics.task_summary(matrix(spark, sf_dir))
+    return out.select(*(F.round(c, 6).alias(c) for c in ("final_avg", "nbwt", "oldest", "newest")))
+
+
+HELD_SQL = LINES_SQL + """,
+o AS (SELECT *, (row_number() OVER (PARTITION BY d ORDER BY s, p, x, y) - 1) % 5 = 4 AS held FROM l),
+st AS (SELECT d, sum(x*x) FILTER (NOT held) AS a, sum(x) FILTER (NOT held) AS b, count(*) FILTER (NOT held)::DOUBLE AS n, sum(x*y) FILTER (NOT held) AS p, sum(y) FILTER (NOT held) AS q,
+  sum(x*x) FILTER (held) AS ha, sum(x) FILTER (held) AS hb, count(*) FILTER (held)::DOUBLE AS hn, sum(x*y) FILTER (held) AS hp, sum(y) FILTER (held) AS hq, sum(y*y) FILTER (held) AS hyy FROM o GROUP BY d),
+g AS (SELECT round(k * 0.05, 3)::DOUBLE AS f, k FROM range(1, 21) r(k)),
+dec AS (SELECT f, k, t.d AS t, sum(pow(f, t.d - s.d) * a) + 100 AS a, sum(pow(f, t.d - s.d) * b) AS b, sum(pow(f, t.d - s.d) * n) + 100 AS n, sum(pow(f, t.d - s.d) * p) AS p, sum(pow(f, t.d - s.d) * q) AS q
+  FROM g CROSS JOIN (SELECT DISTINCT d FROM st) t JOIN st s ON s.d <= t.d GROUP BY f, k, t.d),
+w AS (SELECT f, k, t, (n * p - b * q) / (a * n - b * b) AS w1, (a * q - b * p) / (a * n - b * b) AS w0 FROM dec),
+e AS (SELECT f, k, t, d, (w1*w1*ha + 2*w1*w0*hb + w0*w0*hn - 2*(w1*hp + w0*hq) + hyy) / greatest(hn, 1) AS err FROM w JOIN st ON st.d <= w.t)"""
+
+
+def held_out_errors(spark, sf_dir) -> DataFrame:
+    """(f, k, t, d, err) of every factor, boundary and seen domain, from statistics of the two parts."""
+    rows = sampling.with_position(lines(spark, sf_dir), ["d"], "s", "p", "x", "y").withColumn("held", sampling.is_validation(F.col("position"))).withColumn("x", F.array("x"))
+    cells = long_statistics(rows, ["d", "held"])
+    grid = spark.range(1).select(F.posexplode(fg.grid_of_factors()).alias("k", "f"))
+    ends = spark.createDataFrame([(0,), (1,), (2,)], "t int")
+    weights = F.broadcast(grid.join(ends, F.lit(True)))  # grid times domains
+    fit = cells.where("NOT held").join(weights, F.col("d") <= F.col("t")).groupBy("f", "k", "t", "kind", "i", "j").agg(F.sum(F.pow("f", F.col("t") - F.col("d")) * F.col("v")).alias("v"))
+    models = ridge_two(fit, ["f", "k", "t"], LAM)
+    at = lambda kind, i, j: F.sum(F.when((F.col("kind") == kind) & (F.col("i") == i) & (F.col("j") == j), F.col("v")))
+    held = cells.where("held").groupBy("d").agg(at("r", 0, 0).alias("a"), at("r", 0, 1).alias("b"), at("r", 1, 1).alias("n"), at("c", 0, -1).alias("p"), at("c", 1, -1).alias("q"), at("yy", -1, -1).alias("yy"))
+    error = F.expr("(w1*w1*a + 2*w1*w0*b + w0*w0*n - 2*(w1*p + w0*q) + yy) / greatest(n, 1)")
+    return models.join(F.broadcast(held), F.col("d") <= F.col("t")).select("f", "k", "t", "d", error.alias("err"))
+
+
+@query(f"WITH {HELD_SQL} SELECT f, t, d, round(err, 6) AS err FROM e")
+def heldout_sse(spark, sf_dir):
+    return held_out_errors(spark, sf_dir).select("f", "t", "d", F.round("err", 6).alias("err"))
+
+
+@query(f"""WITH {HELD_SQL}, ob AS (SELECT t, f, k, round(avg(err), 9) AS objective FROM e GROUP BY t, f, k)
+SELECT t, arg_min(f, (objective, k)) AS best_f, round(min(objective), 6) AS best_objective FROM ob WHERE t > 0 GROUP BY t""")
+def select_f(spark, sf_dir):
+    objectives = held_out_errors(spark, sf_dir).where("t > 0").groupBy("t", "f", "k").agg(F.round(F.avg("err"), 9).alias("objective"))
+    return metrics.argmin(objectives, ["t"], "f", "objective", "k").withColumn("best_objective", F.round("best_objective", 6))
+
+
+# -- factors
+
+@query("""WITH r AS (SELECT event_id, greatest(value / 10.0 - 1.0, 0.0) AS rho FROM events),
+f AS (SELECT *, CASE WHEN rho = 0 THEN 1.0 ELSE 0.5 * (2.0 + rho - sqrt(rho * rho + 4.0 * rho)) END AS f FROM r)
+SELECT event_id, round(f, 9) AS f, round((f * f + 1) / f - 2, 6) AS rho_back, round(least(greatest(f, 0.05), 1.0), 9) AS used FROM f""")
+def fstar_map(spark, sf_dir):
+    rho = F.col("value") / 10.0 - 1.0
+    rows = table(spark, sf_dir, "events").withColumns({"f": fg.optimal_factor(rho), "used": fg.factor_from_innovation(F.greatest(F.col("value") / 10.0, F.lit(1.0)), F.lit(1.0))})
+    return rows.select("event_id", F.round("f", 9).alias("f"), F.round(fg.ratio_of_factor(F.col("f")), 6).alias("rho_back"), F.round("used", 9).alias("used"))
+
+
+@query("""WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day, avg(value) AS e FROM events GROUP BY 1),
+o AS (SELECT e, row_number() OVER (ORDER BY day) AS n FROM d),
+r AS (SELECT n, e AS a FROM o WHERE n = 1 UNION ALL SELECT o.n, 0.5 * r.a + 0.5 * o.e FROM r JOIN o ON o.n = r.n + 1)
+SELECT n::BIGINT AS n, round(a, 6) AS floor FROM r ORDER BY n DESC LIMIT 1""")
+def ema_floor(spark, sf_dir):
+    days = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("e"))
+    series = days.agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "e"))), lambda s: s["e"]).alias("s"))  # a value a day
+    return series.select(F.size("s").cast("long").alias("n"), F.round(fg.noise_floor(F.col("s")), 6).alias("floor"))
+
+
+@query("SELECT round(k * 0.05, 3)::DOUBLE AS f FROM range(1, 21) r(k)")
+def f_grid(spark, sf_dir):
+    return spark.range(1).select(F.explode(fg.grid_of_factors()).alias("f"))
+
+
+@query(f"""WITH {HELD_SQL}, ob AS (SELECT t, f, round(avg(err), 9) AS o FROM e GROUP BY t, f),
+b AS (SELECT t, max(CASE WHEN f = 1 THEN o END) AS base, min(o) AS best FROM ob GROUP BY t)
+SELECT t, round(100 * (base - best) / greatest(base, 1e-12), 6) AS gain,
+CASE WHEN NOT best > base + 1e-4 THEN 'good' ELSE 'worse than full memory' END AS adaptive,
+CASE WHEN base < 0.95 AND best >= 0.9 THEN 'scale artifact' WHEN base < 0.95 AND best < 0.9 THEN 'genuine drift' ELSE 'no forgetting needed' END AS forgetting,
+CASE WHEN best < 0.9 THEN 'forgetting helps' ELSE 'no forgetting needed' END AS scalar FROM b""")
+def verdicts(spark, sf_dir):
+    told = held_out_errors(spark, sf_dir).groupBy("t", "f").agg(F.round(F.avg("err"), 9).alias("o"))
+    b = told.groupBy("t").agg(F.max(F.when(F.col("f") == 1, F.col("o"))).alias("base"), F.min("o").alias("best"))
+    base, best = F.col("base"), F.col("best")
+    return b.select("t", F.round(fg.improvement_percent(base, best), 6).alias("gain"), metrics.adaptive_verdict(base, best, best).alias("adaptive"), metrics.forgetting_verdict(base, best).alias("forgetting"), metrics.scalar_verdict(best).alias("scalar"))
+
+
+# -- preparation
+
+@query("""SELECT doc_id, CASE WHEN r <= n // 3 THEN 0 WHEN r <= 2 * n // 3 THEN 1 ELSE 2 END AS bin FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents)""")
+def tertile_bins(spark, sf_dir):
+    return sampling.count_bins(table(spark, sf_dir, "documents"), "n_chars", "doc_id").select("doc_id", "bin")
+
+
+@query("""WITH b AS (SELECT n_chars, CASE WHEN r <= n // 3 THEN 0 WHEN r <= 2 * n // 3 THEN 1 ELSE 2 END AS bin FROM (
+  SELECT n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents))
+SELECT bin, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 6) AS mean FROM b GROUP BY bin""")
+def bin_report(spark, sf_dir):
+    binned = sampling.count_bins(table(spark, sf_dir, "documents"), "n_chars", "doc_id")
+    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.round(F.avg("n_chars"), 6).alias("mean"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () // 7 AS size FROM orders)
+SELECT o_orderkey, (r // size)::INT AS chunk, CASE WHEN r % size < floor(size * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM o WHERE r < 7 * size""")
+def chunk_split(spark, sf_dir):
+    out = sampling.equal_chunks(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice"), F.col("o_orderkey")], 7)
+    return out.select("o_orderkey", F.col("chunk").cast("int").alias("chunk"), "split")
+
+
+@query("""SELECT vec_id, (vec_id % 3)::INT AS domain, (row_number() OVER (PARTITION BY vec_id % 3 ORDER BY vec_id) - 1) % 5 = 4 AS held FROM embeddings""")
+def fit_val_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("CAST(vec_id % 3 AS INT)").alias("domain"))
+    return sampling.with_position(rows, ["domain"], "vec_id").select("vec_id", "domain", sampling.is_validation(F.col("position")).alias("held"))
+
+
+@query("SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)")
+def paired_labels(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""WITH im AS (SELECT '/data/images/' || page_id || CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.jpeg' ELSE '.png' END AS image, page_id::VARCHAR AS stem FROM pages),
+lb AS (SELECT '/data/gt/' || doc_id || '.txt' AS label, doc_id::VARCHAR AS stem FROM documents)
+SELECT stem, image, label FROM im JOIN lb USING (stem)""")
+def stem_pairs(spark, sf_dir):
+    ext = F.expr("CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.jpeg' ELSE '.png' END")
+    images = table(spark, sf_dir, "pages").select(F.concat(F.lit("/data/images/"), "page_id", ext).alias("path"))
+    labels = table(spark, sf_dir, "documents").select(F.concat(F.lit("/data/gt/"), "doc_id", F.lit(".txt")).alias("path"))
+    return pairing.pair_by_stem(images, labels)
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def include_semi(spark, sf_dir):
+    listed = table(spark, sf_dir, "labels").where("quality = 1")
+    return pairing.keep_listed(table(spark, sf_dir, "documents").select("doc_id", "source"), listed, "doc_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def cache_miss_anti(spark, sf_dir):
+    return pairing.missing(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""WITH f AS (SELECT CASE l.toxic WHEN 1 THEN 'GT_' ELSE '' END || doc_id || CASE l.quality WHEN 1 THEN '.mat' ELSE '.txt' END AS name FROM labels l),
+c AS (SELECT doc_id, k, CASE k WHEN 0 THEN 'GT_' || doc_id || '.mat' WHEN 1 THEN doc_id || '.mat' WHEN 2 THEN 'GT_' || doc_id || '.txt' ELSE doc_id || '.txt' END AS name FROM documents CROSS JOIN range(0, 4) r(k))
+SELECT doc_id, arg_min(name, k) AS found FROM c WHERE name IN (SELECT name FROM f) GROUP BY doc_id""")
+def candidate_priority(spark, sf_dir):
+    files = table(spark, sf_dir, "labels").select(F.concat(F.expr("CASE toxic WHEN 1 THEN 'GT_' ELSE '' END"), F.col("doc_id").cast("string"), F.expr("CASE quality WHEN 1 THEN '.mat' ELSE '.txt' END")).alias("name"))
+    items = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("stem"))
+    names = pairing.candidate_names(F.col("stem"), pairing.SHANGHAI_LABELS)
+    return pairing.first_candidate(items, names, files, item="doc_id").select("doc_id", "found")
+
+
+@query("""SELECT o_orderkey, o_totalprice BETWEEN 50000 AND 150000 AS closed, o_totalprice >= 50000 AND o_totalprice < 150000 AS half_open, trim(o_orderpriority) IN ('1-URGENT', '2-HIGH') AS listed FROM orders""")
+def bands(spark, sf_dir):
+    v = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", sampling.band(v, 50000.0, 150000.0, True).alias("closed"), sampling.band(v, 50000.0, 150000.0, False).alias("half_open"), sampling.in_values(F.col("o_orderpriority"), "1-URGENT,2-HIGH").alias("listed"))
+
+
+@query(r"""WITH p AS (SELECT page_id, '/faces/' || (page_id % 90) || '_0_' || (page_id % 5) || CASE WHEN page_id % 7 = 0 THEN '_x.JPG' ELSE '.jpg' END AS path FROM pages)
+SELECT page_id, (page_id % 90)::DOUBLE AS utk, TRY_CAST(split_part(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', ''), '_', 3) AS DOUBLE) AS agedb,
+regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', '') AS stem, 'jpg' AS ext, md5(path || 'vit518') AS digest, 'vit_img518_' || replace(replace(path, '/', '__'), ':', '') || '.npy' AS flat FROM p""")
+def parse_fields(spark, sf_dir):
+    path = F.expr("concat('/faces/', page_id % 90, '_0_', page_id % 5, CASE WHEN page_id % 7 = 0 THEN '_x.JPG' ELSE '.jpg' END)")
+    p = table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    c = F.col("path")
+    return p.select("page_id", age_in_name("utkface", c).alias("utk"), age_in_name("agedb", c).alias("agedb"), stem(c).alias("stem"), extension(c).alias("ext"), digest_key(c, "vit", 518).alias("digest"), flat_key(c, "vit", 518).alias("flat"))
+
+
+@query("""WITH f AS (SELECT url AS path FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0),
+a AS (SELECT url AS path FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0)
+SELECT path, (SELECT count(*) FROM a WHERE a.path = f.path) AS n FROM f""")
+def union_listing(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    every = pages.where("page_id % 2 = 0").select(F.col("url").alias("path")).unionByName(pages.where("page_id % 3 = 0").select(F.col("url").alias("path")))
+    return every.distinct().join(every.groupBy("path").agg(F.count("*").alias("n")), "path").orderBy("path")
+
+
+@query(r"""SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '\S')])::INT AS with_text, len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '\S\s+\S')])::INT AS with_points FROM documents""")
+def line_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", points.lines_with_text(F.col("text")).alias("with_text"), points.lines_with_points(F.col("text")).alias("with_points"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity AS px, l_discount AS py FROM lineitem WHERE l_linenumber % 2 = 0""")
+def parse_point_lines(spark, sf_dir):
+    text = F.expr("CASE WHEN l_linenumber % 2 = 0 THEN concat('  ', l_quantity, ', ', l_discount, ' 7 ') ELSE cast(l_quantity AS string) END")
+    return points.parse_points(table(spark, sf_dir, "lineitem").withColumn("value", text), commas=True).select("l_orderkey", "l_linenumber", "px", "py")
+
+
+# -- grids
+
+CELLS_SQL = """c AS (SELECT l_returnflag AS s, (least(greatest(floor(least(greatest(l_discount * (518.0 / 0.11), 0), 518 - 1e-6) / 518 * 8), 0), 7) * 8
+  + least(greatest(floor(least(greatest(l_quantity * (518.0 / 51), 0), 518 - 1e-6) / 518 * 8), 0), 7))::INT AS cell FROM lineitem),
+h AS (SELECT s, cell, coalesce(n, 0)::DOUBLE AS y FROM (SELECT DISTINCT l_returnflag AS s FROM lineitem) CROSS JOIN (SELECT unnest(range(64))::INT AS cell) LEFT JOIN (SELECT s, cell, count(*) AS n FROM c GROUP BY s, cell) USING (s, cell))"""
+
+
+def histogram(spark, sf_dir) -> DataFrame:
+    """(s, patch_id, y) on an 8 x 8 grid of quantity and discount; widths stand in for image sizes."""
+    base = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("s"), F.col("l_quantity").alias("px"), (F.col("l_discount") * 100).alias("py"))
+    samples = base.select("s").distinct().withColumns({"width": F.lit(51), "height": F.lit(11)})
+    return points.cell_counts(samples, base, "s", GRID_SIDE)
+
+
+@query(f"WITH {CELLS_SQL.replace('l_discount * (518.0 / 0.11)', 'l_discount * 100 * (518.0 / 11)')} SELECT s, cell AS patch_id, y FROM h")
+def grid_histogram(spark, sf_dir):
+    return histogram(spark, sf_dir)
+
+
+def _linear_sql(name: str, matrix) -> str:
+    """A matrix as rows of a VALUES list."""
+    return f"{name}(i, j, w) AS (VALUES " + ", ".join(f"({i}, {j}, {float(v)!r}::DOUBLE)" for i, r in enumerate(matrix) for j, v in enumerate(r)) + ")"
+
+
+def _smooth_sql(matrix) -> str:
+    return f"""WITH {CELLS_SQL.replace('l_discount * (518.0 / 0.11)', 'l_discount * 100 * (518.0 / 11)')}, {_linear_sql('m', matrix)},
+o AS (SELECT s, r.i AS gy, k.i AS gx, greatest(sum(r.w * k.w * y), 0) AS v FROM h JOIN m r ON r.j = h.cell // 8 JOIN m k ON k.j = h.cell % 8 GROUP BY s, r.i, k.i),
+t AS (SELECT s, sum(y) AS total FROM h GROUP BY s), n AS (SELECT s, sum(v) AS now FROM o GROUP BY s)
+SELECT s, (gy * 8 + gx)::INT AS patch_id, round(CASE WHEN abs(now) > 1e-12 THEN v * total / now ELSE v END, 6) AS y FROM o JOIN t USING (s) JOIN n USING (s)"""
+
+
+def _smoothed(spark, sf_dir, mode: str) -> DataFrame:
+    import pyarrow as pa
+
+    from ..session import ship_package
+
+    ship_package(spark)
+    grids = histogram(spark, sf_dir).groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("patch_id", "y"))), lambda c: c["y"]).alias("y"))  # 64 cells a sample
+
+    def run(batches):
+        apply = target_transform(mode)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([apply(y).tolist() for y in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["s", "y"])
+
+    return grids.mapInArrow(run, "s string, y array<double>").select("s", F.posexplode("y").alias("patch_id", "y")).withColumn("y", F.round("y", 6))
+
+
+@query(_smooth_sql(dct_basis(GRID_SIDE, 5) @ dct_basis(GRID_SIDE, 5).T))
+def dct_lowpass(spark, sf_dir):
+    return _smoothed(spark, sf_dir, "dct5")
+
+
+@query(_smooth_sql(gaussian_matrix(GRID_SIDE, 1.5)))
+def gaussian_smooth(spark, sf_dir):
+    return _smoothed(spark, sf_dir, "gauss1.5")
+
+
+@query("""SELECT l_returnflag AS s, ((l_linenumber - 1) // 2)::INT AS gy, (l_suppkey % 4)::INT AS gx, round(avg(least(greatest(l_quantity / 10, 0), 4)), 6) AS depth FROM lineitem GROUP BY 1, 2, 3""")
+def block_means(spark, sf_dir):
+    depth = F.least(F.greatest(F.col("l_quantity") / 10, F.lit(0.0)), F.lit(4.0))
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.groupBy(F.col("l_returnflag").alias("s"), F.expr("CAST((l_linenumber - 1) div 2 AS INT)").alias("gy"), F.expr("CAST(l_suppkey % 4 AS INT)").alias("gx")).agg(F.round(F.avg(depth), 6).alias("depth"))
+
+
+# -- statistics and reports
+
+@query("""SELECT o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max, round(stddev_pop(o_totalprice), 4) AS std FROM orders GROUP BY 1""")
+def summary_stats(spark, sf_dir):
+    out = metrics.describe(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+    return out.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("median", 4).alias("median"), "min", "max", F.round("std", 4).alias("std"))
+
+
+@query("""WITH e AS (SELECT vec_id % 3 AS d, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)
+SELECT d::INT AS d, (k - 1)::INT AS k, round(avg(v), 8) AS mean, round(sqrt(greatest(var_pop(v), 1e-6)), 8) AS sd, round(stddev_pop(v) + 1e-6, 8) AS sd_added FROM e GROUP BY d, k""")
+def standardizer(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("CAST(vec_id % 3 AS INT)").alias("d"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
+    return rows.groupBy("d", "k").agg(F.round(F.avg("v"), 8).alias("mean"), F.round(F.sqrt(F.greatest(F.var_pop("v"), F.lit(1e-6))), 8).alias("sd"), F.round(F.stddev_pop("v") + 1e-6, 8).alias("sd_added"))
+
+
+@query("""WITH e AS (SELECT vec_id // 8 AS s, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings),
+y AS (SELECT vec_id // 8 AS s, sum(label + 1)::DOUBLE AS y, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT s AS sample_id, (k - 1)::INT AS k, round(avg(v), 8) AS v, any_value(y.y) AS y, any_value(y.n) AS n FROM e JOIN y USING (s) GROUP BY s, k""")
+def image_features(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("domain_id"), F.lit("train").alias("split"), F.expr("vec_id div 8").alias("sample_id"), F.expr("vec_id div 8").alias("ord"), F.col("embedding").alias("x"), (F.col("label") + 1.0).alias("y"))
+    out = samples_of(rows).select("sample_id", "y", "n", F.posexplode("x").alias("k", "v"))
+    return out.select("sample_id", "k", F.round("v", 8).alias("v"), "y", "n")
+
+
+@query(f"""WITH {PRED_SQL}, sc AS (SELECT d, greatest(avg(t), 1e-6) AS scale FROM (SELECT d, s, sum(y) AS t FROM l GROUP BY d, s) GROUP BY d),
+p AS (SELECT d, s, sum(greatest(w1 * x + w0, 0)) AS patches, greatest(w1 * avg(x) + w0, 0) AS image FROM l CROSS JOIN f GROUP BY d, s, w1, w0)
+SELECT d, s, round(patches / scale, 6) AS scaled, round(greatest((0.25 * patches + 0.75 * image) / scale * scale, 0), 6) AS pred FROM p JOIN sc USING (d)""")
+def blend_predict(spark, sf_dir):
+    rows, model = lines(spark, sf_dir), fitted(spark, sf_dir).where("t = 2").select(F.array("w1", "w0").alias("w"))
+    told = rows.join(F.broadcast(model), F.lit(True))  # one model row
+    heads = told.groupBy("d", "s").agg(F.sum(predict(F.array("x"), F.col("w"))).alias("patches"), F.avg("x").alias("mx"), F.first("w").alias("w"))
+    scale = metrics.domain_scale(rows, ["d"], "s", "y")
+    told = heads.join(F.broadcast(scale), "d").withColumn("image", predict(F.array("mx"), F.col("w")))  # a row a domain
+    scaled = F.col("patches") / F.col("scale")
+    return told.select("d", "s", F.round(scaled, 6).alias("scaled"), F.round(blend(scaled, F.col("image") / F.col("scale"), 0.25, F.col("scale")), 6).alias("pred"))
+
+
+@query("""WITH e AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT label, k, avg(v) AS v FROM e GROUP BY label, k)
+SELECT a.label AS a, b.label AS b, round(sum(a.v * b.v) / sqrt(sum(a.v * a.v) * sum(b.v * b.v)), 6) AS cosine FROM m a JOIN m b ON a.k = b.k AND a.label < b.label GROUP BY 1, 2""")
+def domain_cosine(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("k", "v")).groupBy("label", "k").agg(F.avg(F.col("v").cast("double")).alias("v"))
+    means = rows.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("m"))
+    left, right = means.select(F.col("label").alias("a"), F.col("m").alias("x")), means.select(F.col("label").alias("b"), F.col("m").alias("y"))
+    return left.join(F.broadcast(right), F.col("a") < F.col("b")).select("a", "b", F.round(cosine(F.col("x"), F.col("y")), 6).alias("cosine"))  # a row a label
+
+
+@query("""WITH r AS (SELECT n_name AS setting, 'raw' AS patch_target, (c_nationkey % 20 + 1) * 0.05 AS forget, 0.25::DOUBLE AS alpha_patch, round(avg(c_acctbal), 4) AS final_avg_MAE,
+  0.0::DOUBLE AS nBwT, min(c_acctbal) AS oldest_MAE, max(c_acctbal) AS newest_MAE FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name, c_nationkey)
+SELECT setting, patch_target, round(forget, 3)::DOUBLE AS forget, alpha_patch, final_avg_MAE, nBwT, oldest_MAE, newest_MAE FROM r ORDER BY final_avg_MAE, setting LIMIT 20""")
+def report_top(spark, sf_dir):
+    """The report's first twenty lines: a top-k by contract."""
+    nations = table(spark, sf_dir, "nation")
+    told = table(spark, sf_dir, "customer").join(F.broadcast(nations), F.col("n_nationkey") == F.col("c_nationkey"))  # 25 rows
+    rows = told.groupBy(F.col("n_name").alias("setting"), "c_nationkey").agg(F.round(F.avg("c_acctbal"), 4).alias("final_avg_MAE"), F.min("c_acctbal").alias("oldest_MAE"), F.max("c_acctbal").alias("newest_MAE"))
+    rows = rows.withColumns({"patch_target": F.lit("raw"), "forget": F.round((F.col("c_nationkey") % 20 + 1) * 0.05, 3), "alpha_patch": F.lit(0.25), "nBwT": F.lit(0.0)})
+    return sinks.report(rows).limit(20)
+
+
+@query("""WITH g AS (SELECT l_returnflag AS target, l_tax AS f, l_discount AS alpha, round(avg(l_extendedprice), 6) AS o FROM lineitem GROUP BY 1, 2, 3)
+SELECT target, arg_min(f, (o, f, alpha)) AS best_f, arg_min(alpha, (o, alpha, f)) AS best_alpha, min(o) AS best_o FROM g GROUP BY target""")
+def sweep_argmin(spark, sf_dir):
+    told = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("target"), F.col("l_tax").alias("f"), F.col("l_discount").alias("alpha")).agg(F.round(F.avg("l_extendedprice"), 6).alias("o"))
+    return told.groupBy("target").agg(F.min_by("f", F.struct("o", "f", "alpha")).alias("best_f"), F.min_by("alpha", F.struct("o", "alpha", "f")).alias("best_alpha"), F.min("o").alias("best_o"))
+
+
+@query("SELECT (n_nationkey)::INT AS domain_id, n_name AS name, 'jhu' AS kind, '/data/' || n_regionkey AS root, 'train' AS train_split, CASE WHEN n_regionkey = 0 THEN 'val' ELSE 'test' END AS test_split FROM nation")
+def config_domains(spark, sf_dir):
+    domain = F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), F.concat(F.lit("/data/"), "n_regionkey").alias("root"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("train_split"), F.when(F.col("n_regionkey") == 0, "val").alias("test_split"), *(F.lit(None).cast("string").alias(c) for c in ("include_file", "train_include_file", "test_include_file")))
+    listed = table(spark, sf_dir, "nation").agg(F.array_sort(F.collect_list(domain)).alias("domains"))  # 25 domains
+    return configs.explode_domains(listed, "counting").select("domain_id", "name", "kind", "root", "train_split", "test_split")
+
+
+@query("""SELECT user_id % 4 AS k, CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
+def event_windows(spark, sf_dir):
+    from ..streaming.statistics import windowed_means
+
+    rows = windowed_means(table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 4), "ts", "value", keys=["k"])
+    return rows.select("k", F.to_date("start").alias("day"), "n", F.round("mean", 6).alias("mean"))
+
+
+# -- experiments on embeddings; tested against a sequential version in NumPy
+
+def vectors(spark, sf_dir) -> DataFrame:
+    """Experiment rows: three domains, one patch a sample."""
+    e = table(spark, sf_dir, "embeddings").withColumns({"domain_id": F.expr("CAST(vec_id % 3 AS INT)"), "place": F.expr("vec_id div 3")})
+    split = F.when(F.col("place") % 5 == 4, "test").otherwise("train")
+    return e.select("domain_id", split.alias("split"), F.col("vec_id").alias("sample_id"), F.expr("place - (place + 1) div 5").alias("ord"), F.lit(0).alias("patch_id"), F.col("embedding").cast("array<double>").alias("x"), (F.col("label") + 1.0).alias("y"))
+
+
+def grouped_vectors(spark, sf_dir) -> DataFrame:
+    """Experiment rows with four patches a sample on a 2 x 2 grid."""
+    e = table(spark, sf_dir, "embeddings").withColumns({"s": F.expr("vec_id div 4"), "patch_id": F.expr("CAST(vec_id % 4 AS INT)")})
+    e = e.withColumns({"domain_id": F.expr("CAST(s % 3 AS INT)"), "place": F.expr("s div 3")})
+    split = F.when(F.col("place") % 5 == 4, "test").otherwise("train")
+    return e.select("domain_id", split.alias("split"), F.col("s").alias("sample_id"), F.expr("place - (place + 1) div 5").alias("ord"), "patch_id", F.col("embedding").cast("array<double>").alias("x"), (F.col("label") + 1.0).alias("y"))
+
+
+SWEEP = (1.0, 0.8, 0.6, 0.4, 0.2)
+
+
+@query()
+def ridge_full64(spark, sf_dir):
+    """The sweep over factors and norms, image heads only."""
+    return Experiment(vectors(spark, sf_dir)).sweep(SWEEP, patches=False).select("norm", "forget", "t", "i", F.round("mae", 6).alias("mae"), F.round("rel", 6).alias("rel"))
+
+
+@query()
+def sweep_best(spark, sf_dir):
+    return best_factors(Experiment(vectors(spark, sf_dir)).sweep(SWEEP, patches=False), SWEEP).drop("alpha")
+
+
+@query()
+def two_head_sweep(spark, sf_dir):
+    """Patch and image heads on smoothed targets, three mixes in one scan a head."""
+    matrix_ = Experiment(grouped_vectors(spark, sf_dir), patch_target="dct1").sweep(SWEEP, ("mean",), (0.0, 0.25, 1.0))
+    return summaries(matrix_, ["norm", "alpha", "forget"])
+
+
+@query()
+def heldout_selection(spark, sf_dir):
+    x = Experiment(vectors(spark, sf_dir))
+    factors = x.held_out_selection(patches=False)
+    return summaries(x.evaluate(x.fixed(factors, label="selected", patches=False)), ["label"]).withColumn("factors", F.array(*map(F.lit, factors)))
+
+
+@query()
+def innovation_selection(spark, sf_dir):
+    x = Experiment(grouped_vectors(spark, sf_dir))
+    factors, ratios = x.innovation_selection()
+    return summaries(x.evaluate(x.fixed(factors, label="innovation")), ["label"]).withColumns({"factors": F.array(*map(F.lit, factors)), "ratios": F.array(*map(F.lit, ratios))})
+
+
+@query()
+def noise_floor_log(spark, sf_dir):
+    log = Experiment(vectors(spark, sf_dir)).noise_floor_selection()
+    return spark.createDataFrame([tuple(r.values()) for r in log], "task int, forget double, innovation double, rho_hat double, postfit_residual double, noise_floor double")
+
+
+@query()
+def single_domain(spark, sf_dir):
+    x = Experiment(vectors(spark, sf_dir))
+    return x.evaluate(x.single_domain(patches=False), own_only=True).select("i", "mae", "rel")
+
+
+@query()
+def random_projection(spark, sf_dir):
+    x = Experiment(vectors(spark, sf_dir))
+    models, feature = x.projected(128)
+    return x.evaluate(models, feature=feature).select("t", "i", "mae", "rel")
+
+
+@query()
+def adam_baseline(spark, sf_dir):
+    x = Experiment(vectors(spark, sf_dir))
+    return x.evaluate(x.gradient()).select("t", "i", "mae", "rel")
+
+
+@query()
+def adam_by_sample(spark, sf_dir):
+    x = Experiment(vectors(spark, sf_dir))
+    return x.evaluate(x.gradient_by_sample(epochs=2)).select("t", "i", "mae", "rel")
+
+
+@query()
+def theory_curve(spark, sf_dir):
+    best, curve = Experiment(vectors(spark, sf_dir)).theory()
+    return spark.createDataFrame([(f, j, f == best) for f, j in curve], "f double, objective double, chosen boolean")
+
+
+@query()
+def gain_table(spark, sf_dir):
+    return spark.createDataFrame(list(Experiment(vectors(spark, sf_dir)).gains().items()), "gain double, f double")
+
+
+@query()
+def drift_scores(spark, sf_dir):
+    return spark.createDataFrame(list(enumerate(Experiment(vectors(spark, sf_dir)).drift())), "domain int, score double")
