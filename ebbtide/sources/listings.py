@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ def list_files(spark: SparkSession, folder: str, recursive: bool = False) -> Dat
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], "path string")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(folder).select("path")
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).inputFiles()  # empty files too, which a scan leaves out
+    return spark.createDataFrame([(unquote(p),) for p in listed], "path string")
 
 
 def only_images(files: DataFrame, suffixes=IMAGES) -> DataFrame:
