@@ -111,7 +111,9 @@ def count_tokens(docs: DataFrame, cache_path: str, path: str | None = None, limi
     """One row per document: its bytes and tokens, and whether those exceed ``limit``."""
     where = path or tokenizer_file(VOCABULARY)
     append_misses(docs, cache_path, where)
-    counts = stored_counts(docs.sparkSession, cache_path).where(F.col("tokenizer") == F.lit(tokenizer_digest(where))).groupBy(F.col("digest").alias("known")).agg(F.max("n_tokens").alias("n_tokens"))
+    stored = stored_counts(docs.sparkSession, cache_path).where(F.col("tokenizer") == F.lit(tokenizer_digest(where)))
+    # two writers may have stored a content twice; written first, the table can be joined to a content of very many rows piece by piece
+    counts = Scratch(docs.sparkSession).save(stored.groupBy(F.col("digest").alias("known")).agg(F.max("n_tokens").alias("n_tokens")), "counts")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text, 256)).alias("digest"))
     return asked.join(counts, asked["digest"] == counts["known"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
