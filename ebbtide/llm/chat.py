@@ -171,3 +171,17 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", told), (-1, 1, ASSISTANT, told)], "conv_id long, turn long, role string, text string")
     return format_conversations(turns.unionByName(own))
+
+
+_SQL_UNIT = r"\\|<s>\[INST\]|<s>\[ROLE\]|<s>|</s>|\[INST\]|\[/INST\]|\[ANSWER\]|\[ROLE\]|\[/ROLE\]|\[:\]"
+#: Roles hold no control strings here. A text is escaped where it holds a control string or two backslashes.
+OP2_SQL = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, CASE WHEN regexp_matches(text, '{_SQL_UNIT.removeprefix(chr(92) * 2 + "|")}') OR contains(text, '\\')
+                THEN length(text) + len(regexp_extract_all(text, '{_SQL_UNIT}')) ELSE length(text) END + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 14 ELSE 23 + length(role) END AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

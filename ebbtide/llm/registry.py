@@ -15,6 +15,7 @@ QUERIES = {
     "op10_token_counts": token_counts.op10_token_counts,
 }
 SQL = {
+    "op2_chat_formatting": chat.OP2_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
 }
