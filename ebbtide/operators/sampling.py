@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 VALIDATION_EVERY = 5
 AGE_SHUFFLE_SEED = 12345
+SAMPLES_A_RANGE = 20
 
 
 def band(value: Column, low: float, high: float, closed: bool) -> Column:
@@ -44,29 +45,48 @@ def tertile(rank: Column, n: Column) -> Column:
 
 
 def count_bins(rows: DataFrame, count: str, tie: str) -> DataFrame:
-    """Rows with ``bin`` by tertile of ``count``, ties by ``tie``.
+    """Rows with ``bin`` by tertile of ``count``, ties by ``tie``."""
+    return with_global_rank(rows, [count, tie]).withColumn("bin", tertile(F.col("rank"), F.col("n"))).drop("n", "rank")
 
-    Ranks come from two passes, per-range counts and offsets, so that no task holds all rows.
-    """
-    return with_global_rank(rows, [F.col(count), F.col(tie)]).withColumn("bin", tertile(F.col("rank"), F.col("n"))).drop("n")
+
+def splitters(rows: DataFrame, order: Sequence[str], ranges: int) -> list:
+    """Keys that cut the order into about even ranges, from a bounded sample drawn by hash."""
+    sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLES_A_RANGE * ranges).orderBy(*order).collect()
+    return sample[SAMPLES_A_RANGE::SAMPLES_A_RANGE]
+
+
+def range_of(rows: DataFrame, order: Sequence[str], cuts: Sequence) -> Column:
+    """The number of the range that a row's key falls in, by binary search over the cuts."""
+    key = F.struct(*order)
+    types = {f.name: f.dataType for f in rows.schema.fields}
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        cut = F.struct(*(F.lit(v).cast(types[c]).alias(c) for c, v in zip(order, cuts[middle], strict=True)))
+        return F.when(key < cut, search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(cuts))
 
 
-def with_global_rank(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
-    """One-based ``rank`` in a total order, and ``n``, the number of rows.
+def with_global_rank(rows: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
+    """One-based ``rank`` in the ascending order of these columns, nulls first, and ``n``, the number of rows.
 
-    Rows are dealt by range and ranked within their range; offsets are the sums of the
-    range sizes before, one number a range.
+    Rows are ranked within ranges of the order and the sizes of the ranges before are
+    added, so that no task holds all rows. A row's range depends on its key alone, so
+    sizes and ranks agree however often either is computed. Equal keys share a range:
+    give a tie-breaker where one value is very common.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
-    inner = Window.partitionBy("__range")
-    ranked = dealt.withColumn("__inner", F.row_number().over(inner.orderBy(*order)))
-    sizes = ranked.groupBy("__range").agg(F.count("*").alias("__size"))
-    every = Window.orderBy("__range")  # a row a range
-    before = sizes.select("__range", F.coalesce(F.sum("__size").over(every.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("n"))
+    inside = rows.withColumn("__range", range_of(rows, order, splitters(rows, order, ranges)))
+    sizes = inside.groupBy("__range").agg(F.count("*").alias("__size"))
+    every = Window.partitionBy(F.lit(0)).orderBy("__range")  # a row a range
+    before = sizes.select("__range", (F.sum("__size").over(every) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("n"))
+    ranked = inside.withColumn("__inner", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
     return ranked.join(F.broadcast(before), "__range").withColumn("rank", F.col("__before") + F.col("__inner")).drop("__range", "__inner", "__before")
 
 
-def equal_chunks(rows: DataFrame, order: Sequence[Column], chunks: int, train_share: float = 0.8) -> DataFrame:
+def equal_chunks(rows: DataFrame, order: Sequence[str], chunks: int, train_share: float = 0.8) -> DataFrame:
     """Rows with ``chunk`` and ``split``: n div chunks rows each, in order; the remainder goes."""
     size = F.floor(F.col("n") / chunks)
     ranked = with_global_rank(rows, order)

@@ -120,7 +120,8 @@ PRED_SQL = FIT_SQL + ", f AS (SELECT w1, w0 FROM w WHERE t = 2)"
 
 def scored(spark, sf_dir) -> DataFrame:
     """Lines with the last model's unclipped prediction."""
-    return lines(spark, sf_dir).join(F.broadcast(fitted(spark, sf_dir).where("t = 2")), F.lit(True)).withColumn("pred", F.col("w1") * F.col("x") + F.col("w0"))  # one model row
+    w = fitted(spark, sf_dir).where("t = 2").first()
+    return lines(spark, sf_dir).withColumn("pred", F.lit(w["w1"]) * F.col("x") + F.lit(w["w0"]))
 
 
 @query(f"""WITH {PRED_SQL}, e AS (SELECT d, s, avg((y - w1 * x - w0) * (y - w1 * x - w0)) AS e, count(*) AS n FROM l CROSS JOIN f GROUP BY d, s)
@@ -258,7 +259,7 @@ def bin_report(spark, sf_dir):
 @query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () // 7 AS size FROM orders)
 SELECT o_orderkey, (r // size)::INT AS chunk, CASE WHEN r % size < floor(size * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM o WHERE r < 7 * size""")
 def chunk_split(spark, sf_dir):
-    out = sampling.equal_chunks(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), [F.col("o_totalprice"), F.col("o_orderkey")], 7)
+    out = sampling.equal_chunks(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], 7)
     return out.select("o_orderkey", F.col("chunk").cast("int").alias("chunk"), "split")
 
 
@@ -432,11 +433,11 @@ def image_features(spark, sf_dir):
 p AS (SELECT d, s, sum(greatest(w1 * x + w0, 0)) AS patches, greatest(w1 * avg(x) + w0, 0) AS image FROM l CROSS JOIN f GROUP BY d, s, w1, w0)
 SELECT d, s, round(patches / scale, 6) AS scaled, round(greatest((0.25 * patches + 0.75 * image) / scale * scale, 0), 6) AS pred FROM p JOIN sc USING (d)""")
 def blend_predict(spark, sf_dir):
-    rows, model = lines(spark, sf_dir), fitted(spark, sf_dir).where("t = 2").select(F.array("w1", "w0").alias("w"))
-    told = rows.join(F.broadcast(model), F.lit(True))  # one model row
-    heads = told.groupBy("d", "s").agg(F.sum(predict(F.array("x"), F.col("w"))).alias("patches"), F.avg("x").alias("mx"), F.first("w").alias("w"))
+    rows, model = lines(spark, sf_dir), fitted(spark, sf_dir).where("t = 2").first()
+    w = F.array(F.lit(model["w1"]), F.lit(model["w0"]))
+    heads = rows.groupBy("d", "s").agg(F.sum(predict(F.array("x"), w)).alias("patches"), F.avg("x").alias("mx"))
     scale = metrics.domain_scale(rows, ["d"], "s", "y")
-    told = heads.join(F.broadcast(scale), "d").withColumn("image", predict(F.array("mx"), F.col("w")))  # a row a domain
+    told = heads.join(F.broadcast(scale), "d").withColumn("image", predict(F.array("mx"), w))  # a row a domain
     scaled = F.col("patches") / F.col("scale")
     return told.select("d", "s", F.round(scaled, 6).alias("scaled"), F.round(blend(scaled, F.col("image") / F.col("scale"), 0.25, F.col("scale")), 6).alias("pred"))
 
