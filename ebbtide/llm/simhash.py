@@ -311,13 +311,16 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents with one row of each component left, that of its smallest doc_id (of its repeats, the first read)."""
-    scratch = Scratch(docs.sparkSession)
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    fps = scratch.save(with_fingerprints(numbered, "doc_id", "__row"), "fingerprints")
+    scratch, row = Scratch(docs.sparkSession), "__row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    fps = scratch.save(with_fingerprints(numbered, "doc_id", row), "fingerprints")
     joined = near_duplicates(fps, scratch)
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best"))
-    kept = scratch.save(best.select(F.col("best.__row").alias("__kept")), "kept")
-    return numbered.join(kept, numbered["__row"] == kept["__kept"], "left_semi").select(*docs.columns)
+    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("best"))
+    kept = scratch.save(best.select(F.col("best")[row].alias("kept_row")), "kept")
+    # the same plan at every size: texts go through one shuffle by a key without skew and are not sorted
+    return numbered.join(kept.hint("shuffle_hash"), numbered[row] == kept["kept_row"], "left_semi").select(*docs.columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
