@@ -40,7 +40,7 @@ MIN_POSITIVE_SHARE = 0.01
 MIN_LOG_ODDS = math.log(20)
 STEMS = range(4, 8)
 WINDOW = 5
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 QUOTES = "\"'“”„‘’«»‹›"
 PUNCTUATION = string.punctuation + QUOTES + "…–—¡¿"
