@@ -1,22 +1,22 @@
 """Chat formatting with a grammar round trip.
 
-Template: ``<s>[ROLE name]text[/ROLE]`` per turn and ``</s>`` behind an assistant's;
-user and assistant turns use ``[INST]``/``[/INST]`` and ``[ANSWER]``/``</s>``. A
+Template: a user's turn is ``<s>[INST] text [/INST]``, an assistant's
+``[ANSWER] text </s>``, any other role's ``<s>[ROLE] role [:] text [/ROLE]``. A
 deterministic parser reads each rendered turn back; a turn that does not come back
 as it was has its content escaped (a backslash before each backslash and each
 control string) and is parsed again, so that rendering and parsing are inverse.
 
 Since the parser consumes turns from left to right and each turn ends at its own
 unescaped closing mark, a conversation comes back exactly when each of its turns
-does. Turns are therefore rendered and checked one at a time, in turn order, and a
-conversation of any length is streamed in bounded memory: only its running digests
-are kept.
+does. Turns are therefore rendered and checked one at a time, wherever they are, and
+a conversation of any length is streamed in turn order in bounded memory: only its
+running digests are kept.
 
 Defined cases: null text counts as empty, null role as the empty role, and a null
 conversation id is one conversation; a null turn number sorts first; rows with the
 same turn number are ordered by role, then text; repeated rows stay; an empty table
 gives an empty result (the query still adds its own conversation); other columns
-are not read.
+are carried along or not read.
 """
 
 from __future__ import annotations
@@ -28,8 +28,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-from ._common import bounded_batches, table
+from ._common import arrow_map, table
 
 ASSISTANT = "assistant"
 MARKS = {"user": ("<s>[INST] ", " [/INST]"), ASSISTANT: ("[ANSWER] ", " </s>")}
@@ -116,17 +117,35 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(format_turn(role, text)[0] for role, text in turns)
 
 
+def format_turns(turns: DataFrame) -> DataFrame:
+    """Every turn in the template: ``formatted``, role and text as parsed from it, and ``in_loss``, whether its text is under the loss mask.
+
+    A conversation's formatted text is its turns' in order; other columns are kept.
+    """
+    columns = turns.columns
+    role_at, text_at = columns.index("role"), columns.index("text")
+    told = turns.withColumns({"role": F.col("role").cast("string"), "text": F.col("text").cast("string")})
+    schema = StructType([*told.schema.fields, StructField("formatted", StringType()), StructField("in_loss", BooleanType())])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        done = [format_turn(role or "", text or "") for role, text in zip(batch.column(role_at).to_pylist(), batch.column(text_at).to_pylist(), strict=True)]
+        kept = list(batch.columns)
+        kept[role_at], kept[text_at] = (pa.array([d[k] for d in done], pa.string()) for k in (1, 2))
+        return pa.RecordBatch.from_arrays([*kept, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] == ASSISTANT for d in done])], names=[*columns, "formatted", "in_loss"])
+
+    return arrow_map(told, run, schema)
+
+
 class _Digest:
     def __init__(self, conv_id):
         self.conv_id, self.turns, self.chars, self.loss_chars = conv_id, 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, role: str | None, text: str | None) -> None:
-        out, role, text = format_turn(role or "", text or "")
+    def add(self, role: str, text: str, chars: int, in_loss: bool) -> None:
         self.turns += 1
-        self.chars += len(out)
+        self.chars += chars
         self.all.update(f"{role}\n{text}\n".encode())
-        if role == ASSISTANT:
+        if in_loss:
             self.loss_chars += len(text)
             self.loss.update(text.encode())
 
@@ -146,12 +165,12 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: _Digest | None = None
     for batch in batches:
         done = []
-        for conv_id, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for conv_id, *turn in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if now is None or now.conv_id != conv_id:
                 if now is not None:
                     done.append(now.row())
                 now = _Digest(conv_id)
-            now.add(role, text)
+            now.add(*turn)
         if done:
             yield _packed(done)
     if now is not None:
@@ -159,11 +178,16 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
-    """One row per conversation, read back from its formatted text."""
-    bounded_batches(turns.sparkSession)
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
-    dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInArrow(_streamed, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """One row per conversation, read back from its formatted turns.
+
+    Formatting and parsing run before the shuffle, where a conversation's turns are
+    spread over tasks; only the digests, which are sequential by nature, need its
+    turns in order.
+    """
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    told = format_turns(rows).select("conv_id", "turn", "role", "text", F.length("formatted").alias("chars"), "in_loss")
+    dealt = told.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select("conv_id", "role", "text", "chars", "in_loss").mapInArrow(_streamed, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
