@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import Scratch, arrow_map, as_bytes, bounded_batches, table
 
@@ -262,7 +263,7 @@ def near_links(distinct: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: i
 
     bounded_batches(spark)
     dealt = arrow_map(distinct.select("fp"), deal, "shard long, fp long, home boolean")
-    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_links, "a long, b long")
+    return dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_links, "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -271,6 +272,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     Each round takes the smallest label among the neighbours and then the label
     of that label, so that rounds grow with the logarithm of a chain's length.
     """
+    links = scratch.save(links, "links")  # computed once: another run may choose other representatives, and both directions must be of the same links
     both = scratch.save(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     label = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("root")), "labels-0")
     number = 0
@@ -310,17 +312,25 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents with one row of each component left, that of its smallest doc_id (of its repeats, the first read)."""
-    scratch, row = Scratch(docs.sparkSession), "__row"
-    while row in docs.columns:
-        row += "_"
-    numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    fps = scratch.save(with_fingerprints(numbered, "doc_id", row), "fingerprints")
-    joined = near_duplicates(fps, scratch)
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)).alias("best"))
-    kept = scratch.save(best.select(F.col("best")[row].alias("kept_row")), "kept")
+    """The documents with one row of each component left, that of its smallest doc_id (of its repeats, the first read).
+
+    Rows get their number and fingerprint in one pass that is written, so that the
+    numbers are the same wherever they are read again.
+    """
+    scratch, columns = Scratch(docs.sparkSession), docs.columns
+    row, mark = (name + "_" * sum(c.startswith(name) for c in columns) for name in ("__row", "__fp"))
+    at, numbered = columns.index("text"), docs.withColumn(row, F.monotonically_increasing_id())
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = fingerprints(as_bytes(batch.column(at).cast(pa.string()))).view(np.int64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*columns, row, mark])
+
+    rows = scratch.save(arrow_map(numbered, add, StructType([*numbered.schema.fields, StructField(mark, LongType())])), "rows")
+    joined = near_duplicates(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(mark).alias("fp")), scratch)
+    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    kept = scratch.save(best.select(F.col("best.row").alias("kept_row")), "kept")
     # the same plan at every size: texts go through one shuffle by a key without skew and are not sorted
-    return numbered.join(kept.hint("shuffle_hash"), numbered[row] == kept["kept_row"], "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("shuffle_hash"), rows[row] == kept["kept_row"], "left_semi").select(*columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,24 @@ def test_links_over_several_shards_lose_nothing(spark):
     assert all(rows[int(f)] == root(int(f)) for f in fps.view(np.int64) if int(f) in rows)
 
 
+def test_components_do_not_depend_on_the_order_of_rows(spark):
+    """Representatives may change whenever links are computed; their components may not."""
+    fps = cloud(4000, 5, flips=2)
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long").repartition(7)
+    want = len(set(brute_components(fps).tolist()))
+    for links in (S.near_links(df, shard_rows=300), S.near_links(df, shard_rows=300).orderBy(S.F.rand())):
+        rows = S.components(links, Scratch(spark)).collect()
+        tied = {r["node"] for r in rows}
+        assert len({r["root"] for r in rows}) + len(fps) - len(tied) == want
+
+
+def test_a_changing_order_of_links_is_computed_once(spark):
+    """Every evaluation of these links gives other directions."""
+    turn = S.F.rand() < 0.5
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 300)], "x long, y long").withColumn("t", turn).select(S.F.when(S.F.col("t"), S.F.col("x")).otherwise(S.F.col("y")).alias("a"), S.F.when(S.F.col("t"), S.F.col("y")).otherwise(S.F.col("x")).alias("b"))
+    assert {r["root"] for r in S.components(links, Scratch(spark)).collect()} == {0}
+
+
 def test_long_chains_become_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 99)], "a long, b long")
     rows = {r["node"]: r["root"] for r in S.components(links, Scratch(spark)).collect()}
