@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from .stats import Statistics
 
+#: Fixed values.
 DECAY_1, DECAY_2, EPSILON = 0.9, 0.999, 1e-8
 VARIANCE_FLOOR = 1e-6
 

@@ -30,9 +30,17 @@ def in_values(value: Column, listed: str) -> Column:
     return F.trim(value).isin(*listed.split(","))
 
 
-def with_position(rows: DataFrame, keys: Sequence[str], *order: Column | str, name: str = "position") -> DataFrame:
-    """The zero-based position of each row within its keys."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+def with_position(rows: DataFrame, keys: Sequence[str], *order: str, name: str = "position") -> DataFrame:
+    """The zero-based position of each row within its keys, which are few: no task holds all rows of a key.
+
+    It is the global rank by keys and order, less the number of rows with smaller keys.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__count"))
+    sized = counts.withColumn("__smaller", F.sum("__count").over(Window.partitionBy(F.lit(0)).orderBy(*keys)) - F.col("__count"))  # a row a key
+    offsets = sized.select(*(F.col(k).alias(f"__{k}") for k in keys), "__smaller")
+    ranked = with_global_rank(rows, [*keys, *order])
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return ranked.join(F.broadcast(offsets), same).withColumn(name, F.col("rank") - 1 - F.col("__smaller")).select(*rows.columns, name)
 
 
 def is_validation(position: Column, every: int = VALIDATION_EVERY) -> Column:

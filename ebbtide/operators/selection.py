@@ -10,6 +10,7 @@ import numpy as np
 from .solve import combine, ridge, squared_error
 from .stats import Statistics
 
+#: Fixed values.
 GRID = tuple(round(0.05 * k, 3) for k in range(1, 21))
 VARIANCE_FLOOR = 1e-3
 SCALE_FLOOR = 1e-6

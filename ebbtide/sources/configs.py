@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: kind of configuration -> field -> (type, default; None where the field must be given)
+#: Kind of configuration -> field -> (type, default; None where the field must be given)
 FIELDS: dict[str, dict[str, tuple[str, object]]] = {
     "counting": {
         "name": ("string", None), "kind": ("string", "jhu"), "root": ("string", None), "train_split": ("string", "train"), "test_split": ("string", "test"),

@@ -84,6 +84,15 @@ def test_ranks_with_ties_nulls_and_many_ranges(spark):
     assert got == [(*r, k, 500) for k, r in enumerate(want, 1)]
 
 
+def test_positions_within_keys(spark):
+    rows = [(None if i % 5 == 0 else i % 2, i) for i in range(101)]
+    got = {(r["k"], r["v"]): r["position"] for r in sampling.with_position(spark.createDataFrame(rows, "k int, v int"), ["k"], "v").collect()}
+    want = {}
+    for k in (None, 0, 1):
+        want |= {(k, v): p for p, v in enumerate(sorted(v for j, v in rows if j == k))}
+    assert got == want
+
+
 def test_chunks_drop_the_remainder(spark):
     df = spark.createDataFrame([(i,) for i in range(23)], "id int")
     rows = sampling.equal_chunks(df, ["id"], 3).orderBy("id").collect()
