@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import gc
 import os
@@ -31,11 +32,37 @@ def bounded_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(limit))
 
 
+_clear: dict[str, Callable[[], None]] = {}
+_holder = ""
+
+
+def holds_memory(module: str, clear: Callable[[], None]) -> None:
+    """Tell how to empty a module's caches when a worker turns to another module's work."""
+    _clear[module] = clear
+
+
+def take_worker(module: str) -> None:
+    """One module's caches at a time: Python workers go on from stage to stage and would gather them all."""
+    global _holder
+    if _holder == module:
+        return
+    _holder = module
+    for name, clear in _clear.items():
+        if name != module:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # glibc keeps freed memory otherwise
+        trim(0)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with one output batch per input batch."""
     bounded_batches(df.sparkSession)
+    module = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(module)
         for batch in batches:
             yield fn(batch)
 

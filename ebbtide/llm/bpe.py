@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, as_texts, table, tokenizer_file, without_gc
+from ._common import arrow_map, as_texts, holds_memory, table, tokenizer_file, without_gc
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_STATES = 400_000
@@ -275,6 +275,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+holds_memory(__name__, codec.cache_clear)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row per document: token count, digests of its ids and of what they decode to."""
     where = path or tokenizer_file(VOCABULARY)

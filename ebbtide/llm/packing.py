@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, arrow_map, as_bytes, table, tokenizer_file, without_gc
+from ._common import Scratch, arrow_map, as_bytes, holds_memory, table, tokenizer_file, without_gc
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -41,7 +41,7 @@ SEQUENCE_DOCUMENTS = 4_096
 SEQUENCE_ATTENTION = SEQUENCE_TOKENS**2
 WEIGHTS = (1.0, 0.001, 0.001)
 GROUP_PIECES = 32_768
-MEMO_CHUNKS = 1_200_000
+MEMO_CHUNKS = 1_000_000
 RUN_CHUNKS = 50_000  # of a long text at a time
 MISSES = 512
 
@@ -144,6 +144,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+holds_memory(__name__, encoder.cache_clear)
+
+
 def cut_documents(docs: DataFrame, path: str | None = None, tokens: int = SEQUENCE_TOKENS) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32) of every document's ids with the closing id behind them."""
     where, end = path or tokenizer_file(VOCABULARY), struct.pack("<I", END_ID)

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, as_bytes, bounded_batches, table, tokenizer_file
+from ._common import Scratch, as_bytes, bounded_batches, holds_memory, table, take_worker, tokenizer_file
 
 VOCABULARY = "piece_bpe_32k.model"
 LIMIT = 4_096
@@ -44,6 +44,9 @@ def _processor(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+holds_memory(__name__, _processor.cache_clear)
+
+
 def count_texts(path: str, texts: list[str]) -> list[int]:
     """Tokens of each whole text, some texts a call."""
     counts: list[int] = []
@@ -92,6 +95,7 @@ def append_misses(docs: DataFrame, cache_path: str, path: str) -> None:
         firsts = firsts.join(have, "digest", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(__name__)
         seen: set[bytes] = set()
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:

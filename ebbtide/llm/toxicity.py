@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, arrow_map, as_texts, bounded_batches, table
+from ._common import Scratch, arrow_map, as_texts, bounded_batches, holds_memory, table
 
 TRAIN_ROWS = 20_000
 MAX_CANDIDATES = 20_000
@@ -161,6 +161,9 @@ def _memo(terms: tuple[str, ...]) -> _Memo:
     return _Memo(LexiconAutomaton(terms))
 
 
+holds_memory(__name__, _memo.cache_clear)
+
+
 def context_weight(chunks: list[str], at: int) -> tuple[float, bool]:
     """The weight of a hit by its window, and whether it stands in quotation or report."""
     before, after = chunks[max(0, at - WINDOW) : at], chunks[at + 1 : at + 1 + WINDOW]
