@@ -13,7 +13,7 @@ own; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -32,6 +32,7 @@ WORD_CHARS_RANGE = (2, 30)
 MAX_NON_LETTER_SHARE = 0.5
 SAMPLE_ROWS = 512
 SAMPLE_BYTES = 64 << 10
+BLOCK_BYTES = 1 << 20
 
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"
@@ -142,6 +143,18 @@ def cascade(block: Block, order: list[str]) -> np.ndarray:
     return kept
 
 
+def blocks(texts: list[bytes], size: int = BLOCK_BYTES) -> Iterator[Block]:
+    """The texts in order, some at a time."""
+    start = held = 0
+    for end, text in enumerate(texts):
+        if held and held + len(text) > size:
+            yield Block(texts[start:end])
+            start, held = end, 0
+        held += len(text)
+    if start < len(texts):
+        yield Block(texts[start:])
+
+
 def rule_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by rejections per second on a sample: the first ``sample_rows`` texts of up to ``SAMPLE_BYTES`` each that Spark comes by."""
     short = docs.select(F.col(text).cast("string").alias("text")).where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
@@ -159,8 +172,7 @@ def quality_report(docs: DataFrame, order: list[str] | None = None) -> DataFrame
     """One row per document: its counts, the base verdict and the cascade's."""
     rules = order or rule_order(docs)
 
-    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        block = Block(as_bytes(batch.column(1)))
+    def verdicts(block: Block) -> list[np.ndarray]:
         every = np.arange(len(block.texts))
         base = {name: block.count(name, every) for name in BASE_COUNTS}
         failed = np.zeros(len(every), bool)
@@ -173,8 +185,13 @@ def quality_report(docs: DataFrame, order: list[str] | None = None) -> DataFrame
                 bad = RULES[name](block, rest)
                 kept[rest[bad]] = False
                 rest = rest[~bad]
+        return [*base.values(), failed, kept]
+
+    def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [verdicts(b) for b in blocks(as_bytes(batch.column(1)))] or [verdicts(Block([]))]
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(base[n], pa.int64()) for n in BASE_COUNTS), pa.array(failed), pa.array(kept)],
+            [batch.column(0), *map(pa.array, columns)],
             names=["doc_id", *BASE_COUNTS, "base_failed", "kept"],
         )
 
@@ -187,7 +204,8 @@ def keep_good(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
     rules, at = order or rule_order(docs), docs.columns.index("text")
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(cascade(Block(as_bytes(batch.column(at))), rules)))
+        kept = [cascade(b, rules) for b in blocks(as_bytes(batch.column(at)))]
+        return batch.filter(pa.array(np.concatenate(kept) if kept else np.zeros(0, bool)))
 
     return arrow_map(docs, keep, docs.schema)
 
