@@ -57,9 +57,21 @@ def count_bins(rows: DataFrame, count: str, tie: str) -> DataFrame:
     return with_global_rank(rows, [count, tie]).withColumn("bin", tertile(F.col("rank"), F.col("n"))).drop("n", "rank")
 
 
+def hash_sample(rows: DataFrame, by: Sequence[str], size: int, total: int) -> DataFrame:
+    """At most ``size`` of ``total`` rows, drawn by a hash of some columns.
+
+    A share of about twice as many is cut out by the hash first, so that tasks have
+    little to order and to send, however many there are.
+    """
+    mark = F.xxhash64(*by)
+    if 2 * size < total:
+        rows = rows.where(mark < int(-(2**63) + 2 * size / total * 2**64))
+    return rows.orderBy(mark, *by).limit(size)
+
+
 def splitters(rows: DataFrame, order: Sequence[str], ranges: int) -> list:
     """Keys that cut the order into about even ranges, from a bounded sample drawn by hash."""
-    sample = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLES_A_RANGE * ranges).orderBy(*order).collect()
+    sample = hash_sample(rows.select(*order), order, SAMPLES_A_RANGE * ranges, rows.count()).orderBy(*order).collect()
     return sample[SAMPLES_A_RANGE::SAMPLES_A_RANGE]
 
 
