@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -41,8 +41,8 @@ SEQUENCE_DOCUMENTS = 4_096
 SEQUENCE_ATTENTION = SEQUENCE_TOKENS**2
 WEIGHTS = (1.0, 0.001, 0.001)
 GROUP_PIECES = 32_768
-MEMO_CHUNKS = 1_000_000
-RUN_CHUNKS = 50_000  # of a long text at a time
+MEMO_CHUNKS = 1_200_000
+RUN_CHUNKS = 4_000  # looked up together, of one long text or of some texts
 MISSES = 512
 
 
@@ -88,7 +88,7 @@ class ChunkEncoder:
             self.new[chunk] = found
         return found
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _learn(self, chunks: set[bytes]) -> None:
         words: list[str] = []
         marked: list[tuple[bytes, str, str]] = []
         others: list[str] = []
@@ -122,21 +122,40 @@ class ChunkEncoder:
             part = others[i : i + MISSES]
             self.new.update(zip((s.encode() for s in part), self._single(part), strict=True))
 
-    def encode(self, text: bytes) -> bytes:
-        """Packed little-endian 32-bit ids of a UTF-8 text."""
+    def _chunks(self, text: bytes) -> list[bytes]:
         if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
             text = text.lower()  # nothing here composes with ASCII letters, and no special token comes about
-        chunks, parts = text.split(), []
-        for i in range(0, len(chunks), RUN_CHUNKS):
-            run = chunks[i : i + RUN_CHUNKS]
-            missing = [c for c in dict.fromkeys(run) if c not in self.new]
-            if missing:
-                if len(self.new) > MEMO_CHUNKS // 2:
-                    self.old, self.new = self.new, {}
-                    missing = list(dict.fromkeys(run))
-                self._learn(missing)
-            parts.append(b"".join(map(self.new.__getitem__, run)))
-        return parts[0] if len(parts) == 1 else b"".join(parts)
+        return text.split()
+
+    def _join(self, runs: list[list[bytes]]) -> list[bytes]:
+        """Ids of some runs of chunks, whose new chunks are learned together."""
+        every = set().union(*runs)
+        missing = every.difference(self.new)
+        if missing:
+            if len(self.new) > MEMO_CHUNKS // 2:
+                self.old, self.new = self.new, {}
+                missing = every
+            self._learn(missing)
+        return [b"".join(map(self.new.__getitem__, run)) for run in runs]
+
+    def encode_all(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """Packed little-endian 32-bit ids of each UTF-8 text."""
+        runs: list[list[bytes]] = []
+        held = 0
+        for text in texts:
+            chunks = self._chunks(text)
+            if held and held + len(chunks) > RUN_CHUNKS:
+                yield from self._join(runs)
+                runs, held = [], 0
+            if len(chunks) > RUN_CHUNKS:
+                yield b"".join(self._join([chunks[i : i + RUN_CHUNKS]])[0] for i in range(0, len(chunks), RUN_CHUNKS))
+            else:
+                runs.append(chunks)
+                held += len(chunks)
+        yield from self._join(runs)
+
+    def encode(self, text: bytes) -> bytes:
+        return next(self.encode_all([text]))
 
 
 @cache
@@ -154,7 +173,7 @@ def cut_documents(docs: DataFrame, path: str | None = None, tokens: int = SEQUEN
     @without_gc
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, pieces, starts, lengths, sums = [], [], [], [], []
-        for doc_id, packed in zip(batch.column(0).to_pylist(), map(encoder(where).encode, as_bytes(batch.column(1))), strict=True):
+        for doc_id, packed in zip(batch.column(0).to_pylist(), encoder(where).encode_all(as_bytes(batch.column(1))), strict=True):
             packed += end
             for piece, at in enumerate(range(0, len(packed), 4 * tokens)):
                 part = packed[at : at + 4 * tokens]
