@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.sampling import hash_sample
 from ._common import Scratch, arrow_map, table
 
 K = 10
@@ -198,7 +199,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, query_every: int = QUERY_
         return spark.createDataFrame([], schema)
     width, total = widths[0]["width"], widths[0]["count"]
     rows = rows.where(F.size("v") == width)
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(min(SAMPLE_ROWS, max(64, SAMPLE_BYTES // (8 * width)))).collect()
+    picked = hash_sample(rows, ["vec_id", "v"], min(SAMPLE_ROWS, max(64, SAMPLE_BYTES // (8 * width))), total).collect()
     sample = np.array([r["v"] for r in picked], float).reshape(-1, width)
     parts = int(min(MAX_PARTS, max(MIN_PARTS, total // PART_ROWS), len(sample)))
     asked_rows = len(sample) // 5 if len(sample) // 5 >= CALIBRATION_MIN else 0

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..operators.sampling import hash_sample
 from ._common import Scratch, arrow_map, as_bytes, bounded_batches, table
 
 SHINGLE = 3
@@ -241,7 +242,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(distinct: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` within 3 bits."""
     spark, rows = distinct.sparkSession, distinct.count()
-    picked = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect()
+    picked = hash_sample(distinct.select("fp"), ["fp"], sample_rows, rows).collect()
     sample = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
     depth = min(MAX_DEPTH, int(np.ceil(np.log2(max(1, rows / shard_rows)))))
     fitted = [fit_tree(half(sample, w), depth) for w in (0, 1)]
