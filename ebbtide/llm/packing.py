@@ -41,7 +41,7 @@ SEQUENCE_DOCUMENTS = 4_096
 SEQUENCE_ATTENTION = SEQUENCE_TOKENS**2
 WEIGHTS = (1.0, 0.001, 0.001)
 GROUP_PIECES = 32_768
-MEMO_CHUNKS = 1_200_000
+MEMO_CHUNKS = 600_000
 RUN_CHUNKS = 4_000  # looked up together, of one long text or of some texts
 MISSES = 512
 
