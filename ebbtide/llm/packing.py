@@ -144,7 +144,7 @@ class ChunkEncoder:
         held = 0
         for text in texts:
             chunks = self._chunks(text)
-            if held and held + len(chunks) > RUN_CHUNKS:
+            if runs and held + len(chunks) > RUN_CHUNKS:
                 yield from self._join(runs)
                 runs, held = [], 0
             if len(chunks) > RUN_CHUNKS:

@@ -44,6 +44,13 @@ def test_odd_texts_and_small_memos(monkeypatch):
             assert ids(tool.encode(t.encode())) == encode(t), ascii(t)
 
 
+def test_texts_without_chunks_keep_their_place_before_long_texts():
+    long, longer = "word " * (K.RUN_CHUNKS + 1000), "Two words, " * K.RUN_CHUNKS
+    for texts in (["", long], [long, "", longer, "e"], [" \n", "", long, " ", longer, ""], ["e", "", long]):
+        got = [ids(x) for x in K.ChunkEncoder(PATH).encode_all(t.encode() for t in texts)]
+        assert got == [encode(t) for t in texts]
+
+
 def valid(lengths, sequence, offset, capacity):
     for s in set(sequence.tolist()):
         own = np.flatnonzero(sequence == s)
