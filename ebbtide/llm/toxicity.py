@@ -269,7 +269,8 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_rows: int
     """A model of labelled documents that are not held out, at most ``train_rows`` of them, drawn by a hash of doc_id; exact copies count once."""
     bounded_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("__id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("__id")))
-    picked = hash_sample(marks.groupBy("__id").agg(F.max("toxic").alias("toxic")), ["__id"], train_rows, marks.count())
+    marked = marks.groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    picked = hash_sample(marked, ["__id"], train_rows, marked.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = scratch.save(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "toxic").dropDuplicates(), "train")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}

@@ -96,6 +96,15 @@ def test_lexicon_has_words_and_stems_and_forgets_held_out_labels(spark, tables):
     assert again.terms == model.terms and np.allclose(again.weights, model.weights)
 
 
+def test_repeated_labels_leave_the_sample_as_large(spark, tables, monkeypatch):
+    docs, labels, _ = tables
+    sizes = []
+    monkeypatch.setattr(X, "fit_logistic", lambda x, y: sizes.append(len(x)) or (np.zeros(X.N_FEATURES), 0.0))
+    for times in (1, 50):
+        X.train(docs, labels.crossJoin(spark.range(times).select()), Scratch(spark), 300)
+    assert sizes == [300, 300]
+
+
 def test_filter_and_empty_tables(tables):
     docs, labels, truth = tables
     kept = {r["doc_id"] for r in X.keep_clean(docs, labels).collect()}
