@@ -1,20 +1,32 @@
 """Toxicity by a lexicon trie met with Levenshtein automata, and context windows.
 
-Training reads a bounded sample of labelled documents (``TRAIN_ROWS``): terms whose
-document frequency is far higher among toxic documents become the lexicon, as whole
-words or as stems (a prefix with any ending). The lexicon's trie is intersected with
-Levenshtein automata (one error in words of 5 letters or more, two from 9; stems
-exactly), and the product is determinised lazily, so that a word is read once, letter
-by letter, however many terms there are. Each hit is weighed by its window: quotation
-marks and words of report lower it, direct address raises it. A small logistic model
-over these sums gives the score.
+Training reads a bounded sample of labelled documents (``TRAIN_ROWS``). Words whose
+document frequency is far higher among toxic documents become the lexicon; where at
+least ``MIN_FORMS`` of them begin alike and that beginning tells toxic documents too,
+it takes their place as a stem, a prefix with any ending. The lexicon has no size
+limit of its own: a term stands in ``MIN_POSITIVE_SHARE`` of the toxic documents, so
+there are at most as many terms as 1 / that share times the mean number of words and
+stems of a document.
+
+The lexicon's trie is intersected with Levenshtein automata (one error in words of 5
+letters or more, two from 9; stems exactly), and the product is determinised lazily,
+so that a word is read once, letter by letter, however many terms there are. A near
+hit counts as a hit. What is near a term but no misspelling is learned: words that
+benign documents of the sample share are no near hits, and a term whose other near
+words stand in benign documents more than misspellings would account for
+(``MISSPELT_SHARE`` of the documents that hold the term) is met without errors only.
+
+Each hit is weighed by its window: quotation marks and words of report lower it,
+direct address raises it. A small logistic model over these sums gives the score; its
+weights are bounded so that a hit never speaks for a clean text, and quotation never
+for a toxic one.
 
 Defined cases: null and empty texts have no hits and get the score of a text without
-hits; texts are read whole; repeated rows each get the same score; labels that repeat
-for a document count as toxic if one does, null labels and labels without a document
-count for nothing; without labels of both kinds all scores are the share of toxic
-labels (0 if there are none); an empty table gives an empty result; other columns are
-not read.
+hits; texts are read whole; repeated rows each get the same score; a null doc_id has
+a null ``held_out`` and is no training row; labels that repeat for a document count as
+toxic if one does, null labels and labels without a document count for nothing;
+without labels of both kinds all scores are the share of toxic labels (0 if there are
+none); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +34,8 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -31,17 +44,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sampling import hash_sample
-from ._common import Scratch, arrow_map, as_texts, bounded_batches, holds_memory, table
+from ._common import Scratch, arrow_map, as_texts, bounded_batches, holds_memory, table, take_worker
 
 TRAIN_ROWS = 20_000
-MAX_CANDIDATES = 20_000
-MAX_TERMS = 256
-MIN_POSITIVE = 5
+MIN_POSITIVE = 5  # toxic documents with a term
 MIN_POSITIVE_SHARE = 0.01
 MIN_LOG_ODDS = math.log(20)
-STEMS = range(4, 8)
+STEMS = range(3, 8)  # letters
+STEM_LOG_ODDS = math.log(8)
+MIN_FORMS = 3  # lexicon words of one stem
+MISSPELT_SHARE = 0.05
+MIN_BENIGN = 2  # benign documents with a word near a term
+MIN_BENIGN_SHARE = 0.001
 WINDOW = 5
 MEMO_WORDS = 200_000
+MAX_STATES = 200_000
 
 QUOTES = "\"'“”„‘’«»‹›"
 PUNCTUATION = string.punctuation + QUOTES + "…–—¡¿"
@@ -65,14 +82,15 @@ def allowed_errors(term: str) -> int:
 class LexiconAutomaton:
     """The trie of the terms, met with each term's Levenshtein automaton; states are made when first reached."""
 
-    def __init__(self, terms: tuple[str, ...]):
+    def __init__(self, terms: tuple[str, ...], exact: frozenset[str] = frozenset()):
+        """``exact`` terms are met without errors only, like stems."""
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[int] = [-1]
         self.stem: list[int] = [-1]
         self.most: list[int] = [0]
         for number, term in enumerate(terms):
             word, node = term.rstrip("*"), 0
-            errors = 0 if term.endswith("*") else allowed_errors(word)
+            errors = 0 if term.endswith("*") or term in exact else allowed_errors(word)
             self.most[0] = max(self.most[0], errors)
             for c in word:
                 if c not in self.children[node]:
@@ -87,7 +105,11 @@ class LexiconAutomaton:
                 self.stem[node] = number
             else:
                 self.ends[node] = number
-        self.budget = [0 if t.endswith("*") else allowed_errors(t) for t in terms]
+        self.budget = [0 if t.endswith("*") or t in exact else allowed_errors(t) for t in terms]
+        self.forget()
+
+    def forget(self) -> None:
+        """Throw the states away; they are made again when reached."""
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
@@ -142,27 +164,30 @@ class LexiconAutomaton:
         return (0, stem) if stem >= 0 else None
 
 
-class _Memo(dict):
-    """Chunk of text -> its match or None; emptied when full."""
+class Lexicon(dict):
+    """Chunk of text -> (errors, term) of its hit, or None; what was looked up is kept until there is too much of it."""
 
-    def __init__(self, automaton: LexiconAutomaton):
+    def __init__(self, terms: tuple[str, ...], exact: frozenset[str] = frozenset(), excused: frozenset[str] = frozenset()):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.excused = LexiconAutomaton(terms, exact), excused
 
     def __missing__(self, chunk: str):
         if len(self) >= MEMO_WORDS:
             self.clear()
+        if len(self.automaton.sets) >= MAX_STATES:
+            self.automaton.forget()
         word = chunk.strip(PUNCTUATION)
-        self[chunk] = found = self.automaton.match(word) if word else None
+        found = self.automaton.match(word) if word else None
+        self[chunk] = found = None if found and found[0] and word in self.excused else found
         return found
 
 
-@lru_cache(maxsize=4)
-def _memo(terms: tuple[str, ...]) -> _Memo:
-    return _Memo(LexiconAutomaton(terms))
+@lru_cache(maxsize=2)
+def _lexicon(terms: tuple[str, ...], exact: frozenset[str] = frozenset(), excused: frozenset[str] = frozenset()) -> Lexicon:
+    return Lexicon(terms, exact, excused)
 
 
-holds_memory(__name__, _memo.cache_clear)
+holds_memory(__name__, _lexicon.cache_clear)
 
 
 def context_weight(chunks: list[str], at: int) -> tuple[float, bool]:
@@ -176,24 +201,29 @@ def context_weight(chunks: list[str], at: int) -> tuple[float, bool]:
     return (0.25 if quoted else 1.0) * (1.5 if told else 1.0), quoted
 
 
-N_FEATURES = 6
+#: What a text's hits add up to, and the sign that each weight may have.
+SIGNS = {"words": 1, "stems": 1, "quoted": -1, "distinct": 1, "top": 1, "rate": 1}
 
 
-def features(text: str, memo: _Memo, weights: tuple[float, ...]) -> list[float]:
+def features(text: str, lexicon: Lexicon, odds: tuple[float, ...], is_stem: tuple[bool, ...]) -> list[float]:
+    """By context-weighted hits; a stem counts once for each of its words, however often that is repeated."""
     chunks = text.lower().split()
-    hits = [(i, h) for i, h in enumerate(map(memo.__getitem__, chunks)) if h]
+    hits = [(i, h[1]) for i, h in enumerate(map(lexicon.__getitem__, chunks)) if h]
     if not hits:
-        return [0.0] * N_FEATURES
-    exact = near = quoted = top = 0.0
-    for i, (errors, term) in hits:
+        return [0.0] * len(SIGNS)
+    words, quoted, top = 0.0, 0, 0.0
+    forms: dict[str, float] = {}
+    for i, term in hits:
         weight, is_quoted = context_weight(chunks, i)
         quoted += is_quoted
-        if errors:
-            near += weight
+        if is_stem[term]:
+            form = chunks[i].strip(PUNCTUATION)
+            forms[form] = max(weight, forms.get(form, 0.0))
         else:
-            exact += weight
-        top = max(top, weights[term] * min(1.0, weight) * (0.5 if errors else 1.0))
-    return [math.log1p(exact), math.log1p(near), math.log1p(quoted), math.log1p(len({t for _, (_, t) in hits})), top, math.log1p(100 * (exact + near) / len(chunks))]
+            words += weight
+        top = max(top, odds[term] * min(1.0, weight))
+    stems, distinct = sum(forms.values()), len(forms) + len({t for _, t in hits if not is_stem[t]})
+    return [math.log1p(words), math.log1p(stems), math.log1p(quoted), math.log1p(distinct), top, math.log1p(100 * (words + stems) / len(chunks))]
 
 
 def held_out(doc_id) -> F.Column:
@@ -215,54 +245,113 @@ def _counted(sample: DataFrame, label: int, among: frozenset[str] | None) -> Dat
     return picked.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def choose_terms(positive: dict[str, int], negative: dict[str, int], n_positive: int, n_negative: int) -> list[tuple[str, float]]:
-    """Terms far likelier in toxic documents, with their log odds; a stem goes where one of its words says as much, and a word or stem where a chosen stem covers it."""
-    least = max(MIN_POSITIVE, MIN_POSITIVE_SHARE * n_positive)
-    scored = []
-    for term, n in positive.items():
-        odds = math.log((n + 0.5) / (n_positive + 1)) - math.log((negative.get(term, 0) + 0.5) / (n_negative + 1))
-        if n >= least and odds >= MIN_LOG_ODDS:
-            scored.append((n * (0.9 + 0.01 * len(term) if term.endswith("*") else 1.0), term, odds))
-    chosen: list[tuple[str, float]] = []
-    for _, term, odds in sorted(scored, key=lambda x: (-x[0], x[1])):
-        stem = term.rstrip("*")
-        covered = any(t.endswith("*") and (stem.startswith(t[:-1]) or (term.endswith("*") and t.startswith(stem))) for t, _ in chosen)
-        told = term.endswith("*") and any(not t.endswith("*") and t.startswith(stem) and positive[t] >= 0.8 * positive[term] for t, _ in chosen)
-        if not covered and not told:
-            chosen.append((term, odds))
-        if len(chosen) == MAX_TERMS:
-            break
-    return chosen
+def log_odds(positive: float, negative: float, n_positive: int, n_negative: int) -> float:
+    return math.log((positive + 0.5) / (n_positive + 1)) - math.log((negative + 0.5) / (n_negative + 1))
+
+
+def least_positive(n_positive: int) -> float:
+    return max(MIN_POSITIVE, MIN_POSITIVE_SHARE * n_positive)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and bias by Newton's method on standardised columns, given for the raw columns."""
+def choose_terms(positive: dict[str, int], negative: dict[str, int], n_positive: int, n_negative: int) -> list[tuple[str, float]]:
+    """Terms far likelier in toxic documents, with their log odds, those that explain most documents first.
+
+    A word is chosen on its own odds, a stem on its own and those of ``MIN_FORMS`` of
+    its words. What a chosen stem covers goes, be it a word or a shorter or longer stem.
+    """
+    least = least_positive(n_positive)
+    odds = {t: log_odds(n, negative.get(t, 0), n_positive, n_negative) for t, n in positive.items() if n >= least}
+    words = {t for t, o in odds.items() if not t.endswith("*") and o >= MIN_LOG_ODDS}
+    forms = Counter(w[:n] + "*" for w in words for n in STEMS if len(w) > n)
+    worth = lambda t: (-positive[t] * odds[t], t)
+    stems: list[str] = []
+    for stem in sorted((t for t, n in forms.items() if n >= MIN_FORMS and odds.get(t, 0.0) >= STEM_LOG_ODDS), key=worth):
+        if not any(stem.startswith(s[:-1]) or s.startswith(stem[:-1]) for s in stems):
+            stems.append(stem)
+    covered = set(stems)
+    words = {w for w in words if not any(w[:n] + "*" in covered for n in STEMS)}
+    return [(t, odds[t]) for t in sorted(words | covered, key=worth)]
+
+
+def near_words(sample: DataFrame, terms: tuple[str, ...]) -> DataFrame:
+    """(word, term, pos, neg): documents of the sample by word near a term, though not the term, and label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(__name__)
+        lexicon, seen = _lexicon(terms), (Counter(), Counter())
+        for batch in batches:
+            for text, toxic in zip(as_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                found = ((w, lexicon[w]) for w in set(words_of(text)))
+                seen[toxic].update((w, terms[h[1]]) for w, h in found if h and h[0])
+        keys = sorted(seen[0].keys() | seen[1].keys())
+        columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([seen[y][k] for k in keys], pa.int64()) for y in (1, 0)]
+        yield pa.RecordBatch.from_arrays(columns, names=["word", "term", "pos", "neg"])
+
+    counted = sample.select("text", (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(run, "word string, term string, pos long, neg long")
+    return counted.groupBy("word", "term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def judge_near(near: DataFrame, exact: dict[str, int], n_positive: int, n_negative: int) -> tuple[frozenset[str], frozenset[str]]:
+    """(terms to be met exactly, words that are no near hits).
+
+    Each word counts for itself where benign documents share it, and so is bounded in
+    number by their length; the rest is judged by term.
+    """
+    least = max(MIN_BENIGN, MIN_BENIGN_SHARE * n_negative)
+    odds = F.log((F.col("pos") + 0.5) / (n_positive + 1)) - F.log((F.col("neg") + 0.5) / (n_negative + 1))
+    benign = (F.col("neg") >= least) & (odds < MIN_LOG_ODDS)
+    excused = frozenset(r["word"] for r in near.where(benign).select("word").distinct().collect())
+    rest = near.where(~benign).groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).collect()  # at most a row a term
+    strict = (r["term"] for r in rest if log_odds(r["pos"] + MISSPELT_SHARE * exact.get(r["term"], 0), r["neg"], n_positive, n_negative) < STEM_LOG_ODDS)
+    return frozenset(strict), excused
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, signs: Sequence[int] = tuple(SIGNS.values()), penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton's method on scaled columns, given for the raw columns.
+
+    A weight whose sign is not the allowed one is held at zero and the rest fitted
+    again, until all agree.
+    """
     mean, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread == 0] = 1
     z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
     ridge = np.diag([penalty] * x.shape[1] + [1e-6])
-    w = np.zeros(z.shape[1])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
-        w -= step
-        if np.abs(step).max() < 1e-10:
+    free = np.ones(z.shape[1], bool)
+    while True:
+        w = np.zeros(z.shape[1])
+        own, held = z[:, free], ridge[np.ix_(free, free)]
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            step = np.linalg.solve((own * (p * (1 - p) + 1e-9)[:, None]).T @ own + held, own.T @ (p - y) + held @ w[free])
+            w[free] -= step
+            if np.abs(step).max() < 1e-10:
+                break
+        wrong = np.append(w[:-1] * np.asarray(signs) < 0, False)
+        if not wrong.any():
             break
+        free &= ~wrong
     weights = w[:-1] / spread
     return weights, float(w[-1] - weights @ mean)
 
 
+@dataclass
 class Model:
-    def __init__(self, terms: list[tuple[str, float]], weights: np.ndarray, bias: float, share: float | None = None):
-        self.terms, self.odds = tuple(t for t, _ in terms), tuple(o for _, o in terms)
-        self.weights, self.bias, self.share = weights, bias, share
+    terms: tuple[str, ...] = ()
+    odds: tuple[float, ...] = ()
+    exact: frozenset[str] = frozenset()
+    excused: frozenset[str] = frozenset()
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(SIGNS)))
+    bias: float = 0.0
+    share: float | None = None  # the score of every text where nothing could be learned
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        lexicon, is_stem = _lexicon(self.terms, self.exact, self.excused), tuple(t.endswith("*") for t in self.terms)
+        return np.array([features(t, lexicon, self.odds, is_stem) for t in texts], float).reshape(-1, len(SIGNS))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.share is not None:
             return np.full(len(texts), self.share)
-        memo = _memo(self.terms)
-        x = np.array([features(t, memo, self.odds) for t in texts]).reshape(-1, N_FEATURES)
-        return 1 / (1 + np.exp(-np.clip((x * self.weights).sum(axis=1) + self.bias, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((self.features(texts) * self.weights).sum(axis=1) + self.bias, -30, 30)))
 
 
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_rows: int = TRAIN_ROWS) -> Model:
@@ -276,22 +365,23 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_rows: int
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_positive, n_negative = sizes.get(1, 0), sizes.get(0, 0)
     if not n_positive or not n_negative:
-        return Model([], np.zeros(N_FEATURES), 0.0, n_positive / max(1, n_positive + n_negative))
-    rows = _counted(sample, 1, None).where(F.col("n") >= MIN_POSITIVE).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()
-    positive = {r["term"]: r["n"] for r in rows}
-    negative = {r["term"]: r["n"] for r in _counted(sample, 0, frozenset(positive)).collect()}  # at most MAX_CANDIDATES
+        return Model(share=n_positive / max(1, n_positive + n_negative))
+    common = _counted(sample, 1, None).where(F.col("n") >= least_positive(n_positive))  # see the module's docstring for how many at most
+    positive = {r["term"]: r["n"] for r in common.collect()}
+    negative = {r["term"]: r["n"] for r in _counted(sample, 0, frozenset(positive)).collect()}
     terms = choose_terms(positive, negative, n_positive, n_negative)
     names, odds = tuple(t for t, _ in terms), tuple(o for _, o in terms)
+    exact, excused = judge_near(scratch.save(near_words(sample, names), "near"), positive, n_positive, n_negative)
+    model = Model(names, odds, exact, excused)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        memo = _memo(names)
-        rows = [features(t, memo, odds) for t in as_texts(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+        return pa.RecordBatch.from_arrays([pa.array(model.features(as_texts(batch.column(0))).tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     got = arrow_map(sample, measure, "x array<double>, toxic int").collect()  # a few figures for each of at most train_rows documents
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
     order = np.lexsort([y, *x.T])
-    return Model(terms, *fit_logistic(x[order], y[order]))
+    model.weights, model.bias = fit_logistic(x[order], y[order])
+    return model
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
