@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ebbtide.llm import ann as A
@@ -25,15 +26,25 @@ def found(df):
 
 
 def frame(spark, ids, x):
-    return spark.createDataFrame([(int(i), v, 0, 1) for i, v in zip(ids, x.tolist(), strict=True)], SCHEMA)
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), pa.float32()), x.shape[1]).cast(pa.list_(pa.float32()))
+    kept = {"vec_id": pa.array(ids, pa.int64()), "embedding": vectors, "label": pa.array([0] * len(ids), pa.int32()), "part": pa.array([1] * len(ids), pa.int32())}
+    return spark.createDataFrame(pa.table(kept))
 
 
-def test_small_tables_are_searched_whole(spark):
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((300, 8)).astype(np.float32).astype(float)
+def recall(got, want):
+    assert got.keys() == want.keys() and all(len(got[q]) == len(want[q]) for q in want)
+    return sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+
+
+def test_tables_with_few_candidates_give_all(spark):
+    x = np.random.default_rng(0).standard_normal((300, 8)).astype(np.float32).astype(float)
     ids = np.arange(300)
-    assert found(A.nearest_neighbours(frame(spark, ids, x))) == exact(ids, x)
-    assert found(A.nearest_neighbours(frame(spark, ids[:4], x[:4]))) == exact(ids[:4], x[:4])
+    for n in (1, 2, 4, 10, 11):
+        want = {q: v for q, v in exact(ids[:n], x[:n]).items() if v}
+        assert found(A.nearest_neighbours(frame(spark, ids[:n], x[:n]))) == want
+    got = A.nearest_neighbours(frame(spark, np.array([0] * 40 + list(range(1, 6))), np.concatenate([x[:40], x[50:55]]))).collect()
+    assert sorted(r["vec_id"] for r in got) == [1, 2, 3, 4, 5]  # forty rows of the query's own id take no place
+    assert recall(found(A.nearest_neighbours(frame(spark, ids, x))), exact(ids, x)) >= 0.9
 
 
 def test_ties_copies_and_hot_vectors(spark):
@@ -41,7 +52,9 @@ def test_ties_copies_and_hot_vectors(spark):
     x = rng.standard_normal((400, 4)).astype(np.float32).astype(float)
     x[50:200] = x[0]
     ids = np.arange(400)
-    assert found(A.nearest_neighbours(frame(spark, ids, x))) == exact(ids, x)
+    got, want = found(A.nearest_neighbours(frame(spark, ids, x))), exact(ids, x)
+    assert got[0] == want[0] == [(i, 0.0) for i in range(50, 60)] and got[100] == want[100]
+    assert recall(got, want) >= 0.9
 
 
 def test_rows_that_take_no_part(spark):
@@ -57,24 +70,52 @@ def test_repeated_rows(spark):
     assert found(A.nearest_neighbours(df)) == {0: [(1, 1.0), (1, 1.0)]}
 
 
-@pytest.mark.parametrize("clusters", [0, 40])
-def test_recall_with_many_parts_and_blocks(spark, monkeypatch, clusters):
-    monkeypatch.setattr(A, "BLOCK_ROWS", 200)
-    monkeypatch.setattr(A, "BLOCK_QUERIES", 3)
-    monkeypatch.setattr(A, "PART_ROWS", 200)
-    rng = np.random.default_rng(2)
-    x = rng.standard_normal((6000, 16))
+def clustered(n, width, clusters, seed=2, spread=0.3):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, width))
     if clusters:
-        x = 0.3 * x + rng.standard_normal((clusters, 16))[rng.integers(0, clusters, 6000)]
-    x = x.astype(np.float32).astype(float)
+        x = spread * x + rng.standard_normal((clusters, width))[rng.integers(0, clusters, n)]
+    return x.astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_with_two_levels_of_parts_and_many_blocks(spark, monkeypatch, clusters):
+    monkeypatch.setattr(A, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(A, "PART_ROWS", 60)
+    monkeypatch.setattr(A, "TOP_PARTS", 8)
+    monkeypatch.setattr(A, "SAMPLE_ROWS", 1500)
+    x = clustered(6000, 16, clusters)
     ids = np.arange(6000)
     got, want = found(A.nearest_neighbours(frame(spark, ids, x))), exact(ids, x)
-    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
-    assert got.keys() == want.keys() and hits / (10 * len(want)) >= 0.9
+    assert recall(got, want) >= 0.9
     for q, near in got.items():
         assert all(s == pytest.approx(float(np.sqrt(np.square(x[i] - x[q]).sum())), abs=0) for i, s in near)
 
 
+@pytest.mark.parametrize("clusters,most", [(0, 0.95), (200, 0.1)])
+def test_recall_and_share_with_the_real_constants(spark, clusters, most):
+    x = clustered(20_500, 64, clusters)
+    ids = np.arange(len(x))
+    rows = A.usable(frame(spark, ids, x)).cache()
+    index = A.build_index(rows, 64, len(x), A.Scratch(spark))
+    assert index.router.parts == 21 and index.sizes.sum() == len(x)
+    assert index.share <= most
+    assert recall(found(A.nearest_neighbours(frame(spark, ids, x))), exact(ids, x)) >= 0.9
+
+
+def test_parts_grow_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(A, "PART_ROWS", 20)
+    monkeypatch.setattr(A, "TOP_PARTS", 8)
+    x = clustered(4000, 4, 30)
+    parts = []
+    for n in (400, 1600, 4000):
+        rows = A.usable(frame(spark, np.arange(n), x[:n]))
+        index = A.build_index(rows, 4, n, A.Scratch(spark))
+        parts.append(index.router.parts)
+        assert index.sizes.sum() == n and 0 < index.share <= 1.01
+    assert parts[0] >= 15 and parts[1] >= 60 and parts[2] >= 150
+
+
 def test_parts_are_balanced_and_follow_the_graph():
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.standard_normal((100, 4)) + 20 * np.eye(4)[k] for k in range(4)])
@@ -87,4 +128,4 @@ def test_query(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
     got, want = found(A.op4_nearest_neighbours(spark, sf_dir)), exact(ids, x)
-    assert sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want) / (10 * len(want)) >= 0.9
+    assert recall(got, want) >= 0.9
