@@ -1,33 +1,41 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Fingerprints are 64-bit SimHashes of 3-word shingles. Two distinct fingerprints
-that differ in at most 3 bits differ in at most 1 bit on one of their 32-bit
-halves, so a forest of two vantage-point trees, one over each half with Hamming
-distance as its metric, is searched with radius 1 and finds every pair; the full
-64 bits are then compared exactly. (A single tree over all 64 bits with radius 3
-would also be exact, but random fingerprints lie so close to every median sphere
-that three branches in four survive the triangle bound; on halves with radius 1
-it is about one in seven.)
-
-The upper levels of each tree are fitted on a bounded sample and only deal
-fingerprints to shards; each fingerprint has one home shard, and one within the
-radius outside a sphere also visits the shards inside it. Every shard goes on
-splitting in memory and compares its leaves. Only a spanning forest of the links
-leaves a shard, never all pairs of a group; components come from distributed
-label propagation with pointer jumping over tables in the shared folder.
+Fingerprints are 64-bit SimHashes of 3-word shingles. A departure from the plain form
+of the method: the trees are not over all 64 bits. A single tree over 64 bits with
+radius 3 is exact too, but random fingerprints lie so close to every median sphere
+that three branches in four survive the triangle bound. Two distinct fingerprints
+that differ in at most 3 bits differ in at most 1 bit on one of their 32-bit halves,
+so a forest of two vantage-point trees, one over each half with Hamming distance as
+its metric, is searched with radius 1 (about one branch in seven survives) and finds
+every pair; the full 64 bits are then compared exactly.
+
+The upper levels of each tree are fitted on a sample bounded by the number of shards
+(``SAMPLE_A_SHARD``, at most ``MOST_SAMPLED`` in all) and only deal fingerprints to
+shards, as many as the rows need; each fingerprint has one home shard, and one within
+the radius outside a sphere also visits the shards inside it. Every shard goes on
+splitting in memory and compares its leaves. Fingerprints that no sphere divides,
+since their halves coincide, differ in at most 3 bits of the other half: its bits are
+cut into six blocks, of which a linked pair shares three, so that only rows that share
+three blocks are compared, and a shard that would hold far more rows than others is
+dealt by those blocks to many tasks. Only a spanning forest of the links leaves a
+shard, never all pairs of a group; components come from distributed label propagation
+with pointer jumping over tables in the shared folder.
 
 Defined cases: null and empty texts, and texts without words, have fingerprint
-zero, linked like any other; texts are read whole; repeated rows, and copies of
-any number, share one fingerprint and are linked once; an empty table gives an
-empty result; other columns are not read. A null doc_id never names a component
-that holds another id.
+zero, linked like any other; texts are read whole, long ones in pieces, so that
+memory holds no more than the text itself; repeated rows, and copies of any number,
+share one fingerprint and are linked once; an empty table gives an empty result;
+other columns are not read. A null doc_id never names a component that holds another
+id.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cache
+from itertools import chain, combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +52,38 @@ SEED = 42
 LINK_BITS = 3
 HALF_RADIUS = LINK_BITS // 2
 SHARD_ROWS = 20_000
-MAX_DEPTH = 14
+HOT_SHARDS = 4  # times the rows of a shard, from where it is dealt by blocks
 SAMPLE_ROWS = 8_192
+SAMPLE_A_SHARD = 16
+MOST_SAMPLED = 1 << 18
 LEAF_ROWS = 512
+BLOCKS, SHARED_BLOCKS = 6, 3  # three bits spoil three blocks at most
+DROPPED_BROADCAST = 500_000  # row numbers of 8 bytes
 _BLOCK_WORDS = 200_000
+_PIECE_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    return np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def _long_fingerprint(text: bytes) -> int:
+    """Of one text, a piece at a time: the last words of a piece go on into the next."""
+    counts, total, at, words = np.zeros(64, np.int64), 0, 0, []
+    while at < len(text):
+        cut = _SPACE.search(text, at + _PIECE_BYTES)
+        end = cut.start() if cut else len(text)
+        words += text[at:end].lower().split()
+        if len(words) >= SHINGLE:
+            shingles = list(map(b" ".join, zip(words, words[1:], words[2:])))
+            counts += _bits(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))).sum(axis=0, dtype=np.int64)
+            total += len(shingles)
+            words = words[1 - SHINGLE :]
+        at = end
+    if total == 0:
+        return xxhash.xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(texts: list[bytes]) -> np.ndarray:
@@ -55,9 +91,13 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     out = np.zeros(len(texts), np.uint64)
     at = 0
     while at < len(texts):
+        if len(texts[at]) > _PIECE_BYTES:
+            out[at] = _long_fingerprint(texts[at])
+            at += 1
+            continue
         hashes, lengths, begin = [], [], at
         words_seen = 0
-        while at < len(texts) and (words_seen == 0 or words_seen < _BLOCK_WORDS):
+        while at < len(texts) and len(texts[at]) <= _PIECE_BYTES and (words_seen == 0 or words_seen < _BLOCK_WORDS):
             w = texts[at].lower().split()
             shingles = list(map(b" ".join, zip(w, w[1:], w[2:]))) if len(w) >= SHINGLE else [b" ".join(w)] if w else []
             hashes.append(shingles)
@@ -70,7 +110,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
         some = np.flatnonzero(sizes)
         if len(some) == 0:
             continue
-        bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        bits = _bits(values)
         ends = np.cumsum(sizes[some])
         for i, start, end in zip(some, ends - sizes[some], ends, strict=True):
             majority = 2 * bits[start:end].sum(axis=0, dtype=np.int64) > end - start
@@ -118,16 +158,15 @@ def choose_sphere(values: np.ndarray, tries: int = 24) -> tuple[int, int] | None
     return found
 
 
-def fit_tree(sample: np.ndarray, depth: int) -> tuple[Node | int, int]:
-    """A tree of at most ``depth`` levels, and its number of shards."""
-    shards = 0
+def fit_tree(sample: np.ndarray, depth: int) -> tuple[Node | int, list[float]]:
+    """A tree of at most ``depth`` levels, and the share of the sample in each of its shards."""
+    shards: list[float] = []
 
     def grow(values: np.ndarray, left: int) -> Node | int:
-        nonlocal shards
         sphere = choose_sphere(values) if left and len(values) >= 8 else None
         if sphere is None:
-            shards += 1
-            return shards - 1
+            shards.append(len(values) / max(1, len(sample)))
+            return len(shards) - 1
         inside = np.bitwise_count(values ^ np.uint32(sphere[0])) <= sphere[1]
         return Node(*sphere, grow(values[inside], left - 1), grow(values[~inside], left - 1))
 
@@ -192,6 +231,49 @@ def _unite(label: np.ndarray, i: int, others: np.ndarray) -> None:
     label[others] = top
 
 
+def _unite_pairs(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Unite many pairs at once; every label points to a root before and after."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not ((up := label[label]) == label).all():
+            label[:] = up
+
+
+@cache
+def _choices() -> list[tuple[int, ...]]:
+    return list(combinations(range(BLOCKS), SHARED_BLOCKS))
+
+
+def block_masks(bits: list[int]) -> list[int]:
+    """For every choice of ``SHARED_BLOCKS`` of the blocks that these bits are cut into, the bits of those."""
+    blocks = [sum(1 << int(b) for b in part) for part in np.array_split(np.array(bits), BLOCKS)]
+    return [sum(blocks[k] for k in choice) for choice in _choices()]
+
+
+def join_by_blocks(fps: np.ndarray, at: np.ndarray, label: np.ndarray) -> None:
+    """Unite the labels of all linked rows of ``at``, by the bits in which they differ at all."""
+    while not ((up := label[label]) == label).all():
+        label[:] = up
+    mine = fps[at]
+    differ = int(np.bitwise_or.reduce(mine ^ mine[0]))
+    bits = [b for b in range(64) if differ >> b & 1]
+    for mask in block_masks(bits) if len(bits) >= BLOCKS else [0]:
+        key = mine & np.uint64(mask)
+        order = np.argsort(key, kind="stable")
+        key, rows = key[order], mine[order]
+        same = np.flatnonzero(key[1:] == key[:-1])  # starts of pairs at distance 1
+        far = 1
+        while len(same):
+            near = same[np.bitwise_count(rows[same] ^ rows[same + far]) <= LINK_BITS]
+            _unite_pairs(label, at[order[near]], at[order[near + far]])
+            far += 1
+            same = same[same + far < len(key)]
+            same = same[key[same] == key[same + far]]
+
+
 def link_shard(fps: np.ndarray, home: np.ndarray, which: int) -> np.ndarray:
     """For each row, the index of the representative of its links within this shard."""
     values, label = half(fps, which), np.arange(len(fps))
@@ -200,7 +282,9 @@ def link_shard(fps: np.ndarray, home: np.ndarray, which: int) -> np.ndarray:
         mine, visitors = todo.pop()
         sphere = choose_sphere(values[mine], 8) if len(mine) > LEAF_ROWS else None
         if sphere is None:
-            if len(mine) > 1 or len(visitors):
+            if len(mine) > LEAF_ROWS:
+                join_by_blocks(fps, np.concatenate([mine, visitors]), label)
+            elif len(mine) > 1 or len(visitors):
                 _join_leaf(fps, mine, visitors, label)
             continue
         rows = np.concatenate([mine, visitors])
@@ -220,7 +304,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         fps = np.concatenate([p[0] for p in parts]).view(np.uint64)
         home = np.concatenate([p[1] for p in parts])
-        label = link_shard(fps, home, shard & 1)
+        if shard < 0:  # rows of a hot shard that share some blocks
+            label = np.arange(len(fps))
+            join_by_blocks(fps, label.copy(), label)
+        else:
+            label = link_shard(fps, home, shard & 1)
         tied = np.flatnonzero((label != np.arange(len(fps))) & (fps != fps[label]))
         return pa.RecordBatch.from_arrays([pa.array(fps[tied].view(np.int64)), pa.array(fps[label[tied]].view(np.int64))], names=["a", "b"])
 
@@ -242,17 +330,27 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(distinct: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of distinct ``fp`` within 3 bits."""
     spark, rows = distinct.sparkSession, distinct.count()
-    picked = hash_sample(distinct.select("fp"), ["fp"], sample_rows, rows).collect()
+    depth = int(np.ceil(np.log2(max(1, rows / shard_rows))))
+    picked = hash_sample(distinct.select("fp"), ["fp"], min(MOST_SAMPLED, max(sample_rows, SAMPLE_A_SHARD << depth)), rows).collect()
     sample = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
-    depth = min(MAX_DEPTH, int(np.ceil(np.log2(max(1, rows / shard_rows)))))
     fitted = [fit_tree(half(sample, w), depth) for w in (0, 1)]
     trees = [t for t, _ in fitted]
+    hot = [{k for k, share in enumerate(shares) if share * rows > HOT_SHARDS * shard_rows} for _, shares in fitted]
+    masks = [block_masks(list(range(32 * (1 - w), 32 * (1 - w) + 32))) for w in (0, 1)]  # of the other half
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
         shards, rows, homes = [], [], []
         for which, tree in enumerate(trees):
             for shard, at, home in route(tree, half(fps.view(np.uint64), which)):
+                if shard in hot[which]:
+                    other = fps.view(np.uint64)[at]
+                    for choice, mask in enumerate(masks[which]):
+                        key = half(other & np.uint64(mask), 1 - which).astype(np.int64)
+                        shards.append(-1 - ((2 * shard + which) * len(masks[which]) + choice << 32 | key))
+                        rows.append(at)
+                        homes.append(home)
+                    continue
                 shards.append(np.full(len(at), 2 * shard + which, np.int64))
                 rows.append(at)
                 homes.append(home)
@@ -327,11 +425,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*columns, row, mark])
 
     rows = scratch.save(arrow_map(numbered, add, StructType([*numbered.schema.fields, StructField(mark, LongType())])), "rows")
-    joined = near_duplicates(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(mark).alias("fp")), scratch)
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
-    kept = scratch.save(best.select(F.col("best.row").alias("kept_row")), "kept")
-    # the same plan at every size: texts go through one shuffle by a key without skew and are not sorted
-    return rows.join(kept.hint("shuffle_hash"), rows[row] == kept["kept_row"], "left_semi").select(*columns)
+    numbers = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(row).alias("row"), F.col(mark).alias("fp"))
+    best = near_duplicates(numbers, scratch).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    kept = scratch.save(best.select(F.col("best.row").alias("kept")), "kept")
+    dropped = scratch.save(rows.select(F.col(row).alias("dropped")).join(kept, F.col("dropped") == F.col("kept"), "left_anti"), "dropped")
+    # texts stay where they are while the numbers to drop are few enough to send everywhere; beyond, they go through one shuffle by a key without skew
+    hint = "broadcast" if dropped.count() <= DROPPED_BROADCAST else "shuffle_hash"
+    return rows.join(dropped.hint(hint), rows[row] == dropped["dropped"], "left_anti").select(*columns)
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
