@@ -253,6 +253,26 @@ def block_masks(bits: list[int]) -> list[int]:
     return [sum(blocks[k] for k in choice) for choice in _choices()]
 
 
+def other_half_masks(which: int) -> list[int]:
+    """Of the half that a tree does not look at."""
+    first = 32 * (1 - which)
+    return block_masks(list(range(first, first + 32)))
+
+
+GROUP_BITS = 20
+
+
+def hot_shards(shard: int, which: int, choice: int, groups: np.ndarray) -> np.ndarray:
+    """Negative shard numbers of a hot shard's groups."""
+    return -1 - (((2 * shard + which) * len(_choices()) + choice << GROUP_BITS) | groups)
+
+
+def hot_choice(number: int) -> tuple[int, int]:
+    """(half, choice of blocks) of a hot shard's group."""
+    code = -1 - number >> GROUP_BITS
+    return code // len(_choices()) & 1, code % len(_choices())
+
+
 def join_by_blocks(fps: np.ndarray, at: np.ndarray, label: np.ndarray) -> None:
     """Unite the labels of all linked rows of ``at``, by the bits in which they differ at all."""
     while not ((up := label[label]) == label).all():
@@ -261,17 +281,23 @@ def join_by_blocks(fps: np.ndarray, at: np.ndarray, label: np.ndarray) -> None:
     differ = int(np.bitwise_or.reduce(mine ^ mine[0]))
     bits = [b for b in range(64) if differ >> b & 1]
     for mask in block_masks(bits) if len(bits) >= BLOCKS else [0]:
-        key = mine & np.uint64(mask)
-        order = np.argsort(key, kind="stable")
-        key, rows = key[order], mine[order]
-        same = np.flatnonzero(key[1:] == key[:-1])  # starts of pairs at distance 1
-        far = 1
-        while len(same):
-            near = same[np.bitwise_count(rows[same] ^ rows[same + far]) <= LINK_BITS]
-            _unite_pairs(label, at[order[near]], at[order[near + far]])
-            far += 1
-            same = same[same + far < len(key)]
-            same = same[key[same] == key[same + far]]
+        _join_equal(fps, at, mask, label)
+
+
+def _join_equal(fps: np.ndarray, at: np.ndarray, mask: int, label: np.ndarray) -> None:
+    """Unite the labels of linked rows that agree on the bits of ``mask``; labels point to roots."""
+    mine = fps[at]
+    key = mine & np.uint64(mask)
+    order = np.argsort(key, kind="stable")
+    key, rows = key[order], mine[order]
+    same = np.flatnonzero(key[1:] == key[:-1])  # starts of pairs at distance 1
+    far = 1
+    while len(same):
+        near = same[np.bitwise_count(rows[same] ^ rows[same + far]) <= LINK_BITS]
+        _unite_pairs(label, at[order[near]], at[order[near + far]])
+        far += 1
+        same = same[same + far < len(key)]
+        same = same[key[same] == key[same + far]]
 
 
 def link_shard(fps: np.ndarray, home: np.ndarray, which: int) -> np.ndarray:
@@ -304,9 +330,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         fps = np.concatenate([p[0] for p in parts]).view(np.uint64)
         home = np.concatenate([p[1] for p in parts])
-        if shard < 0:  # rows of a hot shard that share some blocks
-            label = np.arange(len(fps))
-            join_by_blocks(fps, label.copy(), label)
+        if shard < 0:  # rows of a hot shard, those together that share a choice of blocks
+            label, (which, choice) = np.arange(len(fps)), hot_choice(shard)
+            _join_equal(fps, label.copy(), other_half_masks(which)[choice], label)
         else:
             label = link_shard(fps, home, shard & 1)
         tied = np.flatnonzero((label != np.arange(len(fps))) & (fps != fps[label]))
@@ -335,8 +361,8 @@ def near_links(distinct: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: i
     sample = np.array([r["fp"] for r in picked], np.int64).view(np.uint64)
     fitted = [fit_tree(half(sample, w), depth) for w in (0, 1)]
     trees = [t for t, _ in fitted]
-    hot = [{k for k, share in enumerate(shares) if share * rows > HOT_SHARDS * shard_rows} for _, shares in fitted]
-    masks = [block_masks(list(range(32 * (1 - w), 32 * (1 - w) + 32))) for w in (0, 1)]  # of the other half
+    # hot shards, with the number of groups that each choice of blocks is dealt to
+    hot = [{k: min(1 << GROUP_BITS, int(share * rows // shard_rows)) for k, share in enumerate(shares) if share * rows > HOT_SHARDS * shard_rows} for _, shares in fitted]
 
     def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -344,10 +370,10 @@ def near_links(distinct: DataFrame, shard_rows: int = SHARD_ROWS, sample_rows: i
         for which, tree in enumerate(trees):
             for shard, at, home in route(tree, half(fps.view(np.uint64), which)):
                 if shard in hot[which]:
-                    other = fps.view(np.uint64)[at]
-                    for choice, mask in enumerate(masks[which]):
-                        key = half(other & np.uint64(mask), 1 - which).astype(np.int64)
-                        shards.append(-1 - ((2 * shard + which) * len(masks[which]) + choice << 32 | key))
+                    own = fps.view(np.uint64)[at]
+                    for choice, mask in enumerate(other_half_masks(which)):
+                        key = half(own & np.uint64(mask), 1 - which).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                        shards.append(hot_shards(shard, which, choice, (key % np.uint64(hot[which][shard])).astype(np.int64)))
                         rows.append(at)
                         homes.append(home)
                     continue
