@@ -11,9 +11,14 @@ the bytes behind them begin some token, so the lookahead is bounded by the longe
 token. States and moves are made when first reached and thrown away when there are
 too many.
 
+Decoding is streamed token by token through a table-driven UTF-8 automaton, whose moves
+over whole tokens are tables too: a character that tokens cut is held until it is
+complete, and bytes that belong to none become U+FFFD, one for each longest beginning
+of a character. The decoded bytes are those of the tokens, whatever they hold.
+
 Defined cases: null counts as empty and has no tokens; texts are read whole;
-repeated rows each give their row; an empty table gives an empty result; other
-columns are not read.
+repeated rows each give their row; a null doc_id stays null; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from array import array
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -216,28 +221,88 @@ class _Pieces(dict):
         return found
 
 
+#: States of the UTF-8 automaton: between characters, bytes to come, after the bytes that narrow the next one, none.
+START, ONE, TWO, THREE, AFTER_E0, AFTER_ED, AFTER_F0, AFTER_F4, REJECT = range(9)
+
+
+@cache
+def utf8_table() -> np.ndarray:
+    """(state, byte) -> state, of well-formed UTF-8."""
+    table = np.full((9, 256), REJECT, np.uint8)
+    moves = [
+        (START, 0x00, 0x7F, START), (START, 0xC2, 0xDF, ONE), (START, 0xE0, 0xE0, AFTER_E0), (START, 0xE1, 0xEC, TWO), (START, 0xED, 0xED, AFTER_ED), (START, 0xEE, 0xEF, TWO),
+        (START, 0xF0, 0xF0, AFTER_F0), (START, 0xF1, 0xF3, THREE), (START, 0xF4, 0xF4, AFTER_F4), (ONE, 0x80, 0xBF, START), (TWO, 0x80, 0xBF, ONE), (THREE, 0x80, 0xBF, TWO),
+        (AFTER_E0, 0xA0, 0xBF, ONE), (AFTER_ED, 0x80, 0x9F, ONE), (AFTER_F0, 0x90, 0xBF, TWO), (AFTER_F4, 0x80, 0x8F, TWO),
+    ]
+    for state, low, high, to in moves:
+        table[state, low : high + 1] = to
+    return table
+
+
+def token_moves(bytes_of: dict[int, bytes]) -> np.ndarray:
+    """(state, token) -> state behind the token's bytes; REJECT stays."""
+    table, size = utf8_table(), max(bytes_of, default=-1) + 1
+    lengths = np.zeros(size, np.int64)
+    for i, data in bytes_of.items():
+        lengths[i] = len(data)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    flat = np.frombuffer(b"".join(bytes_of.get(i, b"") for i in range(size)), np.uint8)
+    moves = np.repeat(np.arange(9, dtype=np.uint8)[:, None], size, axis=1)
+    for at in range(int(lengths.max(initial=0))):
+        some = np.flatnonzero(lengths > at)
+        moves[:, some] = table[moves[:, some], flat[starts[some] + at]]
+    return moves
+
+
 class Utf8Stream:
-    """Incremental UTF-8: bytes in, the text they complete out; what is open waits for more."""
+    """Incremental UTF-8: bytes or tokens in, the text they complete out; a character that is open waits for more."""
 
-    def __init__(self) -> None:
-        self.open = b""
+    def __init__(self, bytes_of: dict[int, bytes] | None = None, moves: np.ndarray | None = None) -> None:
+        self.bytes_of, self.moves = bytes_of, moves
+        self.table = utf8_table().tolist()
+        self.state, self.open = START, b""
 
     def feed(self, data: bytes) -> str:
+        """Byte by byte."""
+        out, held = [], bytearray(self.open)
+        for byte in data:
+            to = self.table[self.state][byte]
+            if to == REJECT:
+                if self.state != START:  # the open character ends here, and the byte may begin another
+                    out.append("\ufffd")
+                    held.clear()
+                    to = self.table[START][byte]
+                if to == REJECT:
+                    out.append("\ufffd")
+                    self.state = START
+                    continue
+            held.append(byte)
+            self.state = to
+            if to == START:
+                out.append(held.decode())
+                held.clear()
+        self.open = bytes(held)
+        return "".join(out)
+
+    def feed_tokens(self, ids: np.ndarray) -> str:
+        """Token by token; where no token rejects, their bytes are text as they stand."""
+        data = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
+        after = self.moves[START, ids]
+        if self.state == START and not after.any():
+            return data.decode()
+        state = self.state
+        for i, from_start in zip(ids.tolist(), after.tolist(), strict=True):
+            state = from_start if state == START else int(self.moves[state, i])
+        if state == REJECT:
+            return self.feed(data)
         data = self.open + data
-        cut = len(data)
-        for back in range(1, min(4, len(data) + 1)):
-            byte = data[-back]
-            if byte & 0xC0 == 0x80:
-                continue
-            needs = 1 if byte < 0x80 else 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-            cut = len(data) - back if needs > back else len(data)
-            break
-        self.open = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        cut = len(data) - (next(n for n in (1, 2, 3) if data[-n] & 0xC0 != 0x80) if state != START else 0)
+        self.state, self.open = state, data[cut:]
+        return data[:cut].decode()
 
     def close(self) -> str:
-        rest, self.open = self.open, b""
-        return rest.decode("utf-8", "replace")
+        rest, self.open, self.state = self.open, b"", START
+        return "\ufffd" if rest else ""
 
 
 class Codec:
@@ -250,24 +315,19 @@ class Codec:
             pattern = public_tokenizers.PATTERN
         self.find = regex.compile(pattern).findall
         transducer = Transducer(read_ranks(path))
-        self.bytes_of = transducer.bytes_of
+        self.bytes_of, self.moves = transducer.bytes_of, token_moves(transducer.bytes_of)
         self.pieces = _Pieces(transducer)
 
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.find(text)))
 
-    def decode(self, packed: bytes):
-        """The decoded bytes, a bounded run of tokens at a time."""
-        ids = np.frombuffer(packed, "<u4")
+    def decode(self, packed: bytes) -> Iterator[tuple[bytes, str]]:
+        """The tokens' bytes, a bounded run of tokens at a time, and the text that they complete."""
+        ids, stream = np.frombuffer(packed, "<u4"), Utf8Stream(self.bytes_of, self.moves)
         for i in range(0, len(ids), DECODE_STEP):
-            yield b"".join(map(self.bytes_of.__getitem__, ids[i : i + DECODE_STEP].tolist()))
-
-    def decode_text(self, packed: bytes):
-        """The decoded text, streamed."""
-        stream = Utf8Stream()
-        for part in self.decode(packed):
-            yield stream.feed(part)
-        yield stream.close()
+            run = ids[i : i + DECODE_STEP]
+            yield b"".join(map(self.bytes_of.__getitem__, run.tolist())), stream.feed_tokens(run)
+        yield b"", stream.close()
 
 
 @cache
@@ -279,23 +339,25 @@ holds_memory(__name__, codec.cache_clear)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """One row per document: token count, digests of its ids and of what they decode to."""
+    """One row per document: token count, digests of its ids and of the bytes they decode to, and the characters of the text those are."""
     where = path or tokenizer_file(VOCABULARY)
 
     @without_gc
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tool, counts, ids, back = codec(where), [], [], []
+        tool, counts, ids, back, chars = codec(where), [], [], [], []
         for text in as_texts(batch.column(1)):
             packed = tool.encode(text)
-            digest = hashlib.sha256()
-            for part in tool.decode_text(packed):
-                digest.update(part.encode("utf-8", "surrogatepass"))
+            digest, length = hashlib.sha256(), 0
+            for data, part in tool.decode(packed):
+                digest.update(data)
+                length += len(part)
+            chars.append(length)
             counts.append(len(packed) // 4)
             ids.append(hashlib.sha256(packed).hexdigest())
             back.append(digest.hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), pa.array(chars, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long")
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ def ids(packed):
 def test_any_text(text):
     packed = CODEC.encode(text)
     assert ids(packed) == ORACLE.encode_ordinary(text)
-    assert b"".join(CODEC.decode(packed)) == text.encode() and "".join(CODEC.decode_text(packed)) == text
+    data, parts = zip(*CODEC.decode(packed), strict=True)
+    assert b"".join(data) == text.encode() and "".join(parts) == text
 
 
 def test_words_and_odd_texts():
@@ -61,6 +62,9 @@ def test_lookahead_is_bounded():
     assert max(len(s[1]) for s in tool.states) < 2 * max(map(len, RANKS))
 
 
+CUT_TOKENS = [t for t in RANKS if t.decode("utf-8", "replace").encode() != t]
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 5])
 def test_utf8_stream(size):
     data, stream = "aé漢😀z".encode(), B.Utf8Stream()
@@ -69,14 +73,44 @@ def test_utf8_stream(size):
     assert broken.feed(b"\xe6\xbc") == "" and broken.close() == "�"
 
 
+def test_the_automaton_against_the_codec_on_all_kinds_of_bytes():
+    rng = random.Random(4)
+    starts = [b"\xf0\x9f\x98\x80", b"\xe6\xbc\xa2", b"\xc3\xa9", b"a", b"\xed\xa0\x80", b"\xc0\xaf", b"\xf4\x90\x80\x80", b"\xe0\x80\x80", b"\xff", b"\x80"]
+    for _ in range(3000):
+        data = b"".join(s[: rng.randrange(1, len(s) + 1)] for s in rng.choices(starts, k=rng.randrange(1, 9)))
+        stream, parts, at = B.Utf8Stream(), [], 0
+        while at < len(data):
+            step = rng.randrange(1, 4)
+            parts.append(stream.feed(data[at : at + step]))
+            at += step
+        assert "".join(parts) + stream.close() == data.decode("utf-8", "replace")
+
+
+def test_tokens_that_cut_characters_and_tokens_that_are_no_text(monkeypatch):
+    monkeypatch.setattr(B, "DECODE_STEP", 3)
+    rng, texts = random.Random(5), []
+    for _ in range(400):
+        picked = [RANKS[t] for t in rng.sample(CUT_TOKENS, 5)] + rng.choices(range(len(RANKS)), k=6)
+        rng.shuffle(picked)
+        texts.append([i for i in picked if i in CODEC.bytes_of])
+    texts += [[RANKS[bytes([b])] for b in "aé漢😀z".encode()], [RANKS[b"\xf0"]], [RANKS[b"\x80"]] * 5, []]
+    for picked in texts:
+        whole = b"".join(CODEC.bytes_of[i] for i in picked)
+        data, parts = zip(*CODEC.decode(B.packed_ids(picked)), strict=True)
+        assert b"".join(data) == whole and "".join(parts) == whole.decode("utf-8", "replace")
+
+
 def test_documents(spark):
     texts = [None, "", "same", "same", "long text " * 20_000]
     df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     for r in B.encode_documents(df).collect():
         text = texts[r["doc_id"]] or ""
         want = ORACLE.encode_ordinary(text)
-        assert tuple(r)[1:] == (len(want), hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert tuple(r)[1:4] == (len(want), hashlib.sha256(struct.pack(f"<{len(want)}I", *want)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert r["decoded_chars"] == len(text)
     assert B.encode_documents(df.limit(0)).count() == 0
+    nameless = B.encode_documents(spark.createDataFrame([(None, "a b", 1)], df.schema)).first()
+    assert nameless["doc_id"] is None and nameless["n_tokens"] == 2
 
 
 def test_query(spark, sf_dir):
