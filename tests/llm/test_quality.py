@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +52,30 @@ def test_later_rules_see_only_what_earlier_ones_let_pass():
     assert block.known["n_symbols"].tolist() == [-1, 0]
 
 
+def test_the_order_is_by_rejections_per_cost_among_what_is_left(monkeypatch):
+    clock, seen = [0], []
+
+    def rule(name, cost, rejects):
+        def run(block, at):
+            clock[0] += cost * len(at)
+            seen.append((name, len(at)))
+            return np.isin(at, rejects)
+
+        return run
+
+    monkeypatch.setattr(Q.time, "perf_counter_ns", lambda: clock[0])
+    monkeypatch.setattr(Q, "RULES", {"dear": rule("dear", 10, range(60)), "same": rule("same", 2, range(50)), "cheap": rule("cheap", 1, range(40)), "idle": rule("idle", 3, ())})
+    # "same" rejects more, but a text costs it twice; once "cheap" has run, it rejects ten of sixty that are left
+    assert Q.order_rules([b"x"] * 100) == ["cheap", "same", "dear", "idle"]
+    assert ("same", 60) in seen and ("dear", 50) in seen
+
+
+def test_the_report_judges_by_the_cascade_before_it_counts_the_rest():
+    block = Q.Block([b"short", b"a b c d e f g h i j k l"])
+    assert Q.cascade(block, ["too_short", "repeats", "symbols", "duplicate_lines", "word_length", "non_letters"]).tolist() == [False, False]
+    assert block.known["n_repeat_words"].tolist() == [-1, 0] and block.known["n_symbols"].tolist() == [-1, 0]
+
+
 @given(st.lists(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=40), max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_repeated_windows(docs):
