@@ -37,10 +37,9 @@ def residual_energies(rows: DataFrame, keys: Sequence[str], sample: str, pred: C
 def task_summary(matrix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """final_avg, nbwt, oldest and newest of sparse task matrices (t, i, value), i <= t; null and NaN count as not evaluated."""
     told = matrix.withColumn("value", F.nanvl("value", F.lit(None).cast("double")))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    last = told.withColumn("__t", F.max("t").over(whole))
-    diagonal = last.where(F.col("i") == F.col("t")).select(*keys, "i", F.col("value").alias("__own"))
-    final = last.where(F.col("t") == F.col("__t")).join(diagonal, [*keys, "i"], "left")
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row a cell of a matrix
+    own = F.max(F.when(F.col("i") == F.col("t"), F.col("value"))).over(Window.partitionBy(*keys, "i"))
+    final = told.withColumns({"__t": F.max("t").over(whole), "__own": own}).where(F.col("t") == F.col("__t"))
     gain = F.when(F.col("i") < F.col("__t"), (F.col("__own") - F.col("value")) / F.greatest(F.abs("__own"), F.lit(DENOMINATOR_FLOOR)))
     return final.groupBy(*keys).agg(
         F.avg("value").alias("final_avg"), F.coalesce(F.avg(gain), F.lit(0.0)).alias("nbwt"),

@@ -24,7 +24,7 @@ def pair_by_stem(images: DataFrame, labels: DataFrame) -> DataFrame:
     """(stem, image, label) for files (path) whose stems agree."""
     left = images.select(stem(F.col("path")).alias("stem"), F.col("path").alias("image"))
     right = labels.select(stem(F.col("path")).alias("stem"), F.col("path").alias("label"))
-    return left.join(right, "stem").orderBy("image")
+    return left.join(right, "stem")
 
 
 def first_candidate(items: DataFrame, names: Sequence[Column], files: DataFrame, item: str = "item", name: str = "name") -> DataFrame:

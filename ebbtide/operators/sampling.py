@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 VALIDATION_EVERY = 5
 AGE_SHUFFLE_SEED = 12345
 SAMPLES_A_RANGE = 20
+ROWS_A_RANGE = 250_000
+LEAST_RANGES, MOST_RANGES = 8, 512
 
 
 def band(value: Column, low: float, high: float, closed: bool) -> Column:
@@ -31,16 +33,17 @@ def in_values(value: Column, listed: str) -> Column:
 
 
 def with_position(rows: DataFrame, keys: Sequence[str], *order: str, name: str = "position") -> DataFrame:
-    """The zero-based position of each row within its keys, which are few: no task holds all rows of a key.
+    """The zero-based position of each row within its keys: no task holds all rows of a key.
 
-    It is the global rank by keys and order, less the number of rows with smaller keys.
+    Rows are ranked within ranges of keys and order; the sizes of the ranges before that hold the same keys are added.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__count"))
-    sized = counts.withColumn("__smaller", F.sum("__count").over(Window.partitionBy(F.lit(0)).orderBy(*keys)) - F.col("__count"))  # a row a key
-    offsets = sized.select(*(F.col(k).alias(f"__{k}") for k in keys), "__smaller")
-    ranked = with_global_rank(rows, [*keys, *order])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    return ranked.join(F.broadcast(offsets), same).withColumn(name, F.col("rank") - 1 - F.col("__smaller")).select(*rows.columns, name)
+    inside = rows.withColumn("__range", range_of(rows, [*keys, *order], splitters(rows, [*keys, *order])))
+    sizes = inside.groupBy("__range", *keys).agg(F.count("*").alias("__size"))
+    earlier = F.sum("__size").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__size")
+    before = sizes.select(F.col("__range").alias("__of"), *(F.col(k).alias(f"__{k}") for k in keys), earlier.alias("__before"))
+    ranked = inside.withColumn("__inner", F.row_number().over(Window.partitionBy("__range", *keys).orderBy(*order)))
+    same = [F.col("__range") == F.col("__of"), *(F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)]
+    return ranked.join(F.broadcast(before), same).withColumn(name, F.col("__before") + F.col("__inner") - 1).select(*rows.columns, name)  # a row a range and key
 
 
 def is_validation(position: Column, every: int = VALIDATION_EVERY) -> Column:
@@ -69,9 +72,11 @@ def hash_sample(rows: DataFrame, by: Sequence[str], size: int, total: int) -> Da
     return rows.orderBy(mark, *by).limit(size)
 
 
-def splitters(rows: DataFrame, order: Sequence[str], ranges: int) -> list:
-    """Keys that cut the order into about even ranges, from a bounded sample drawn by hash."""
-    sample = hash_sample(rows.select(*order), order, SAMPLES_A_RANGE * ranges, rows.count()).orderBy(*order).collect()
+def splitters(rows: DataFrame, order: Sequence[str]) -> list:
+    """Keys that cut the order into about even ranges, as many as the rows need, from a bounded sample drawn by hash."""
+    total = rows.count()
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, -(-total // ROWS_A_RANGE)))
+    sample = hash_sample(rows.select(*order), order, SAMPLES_A_RANGE * ranges, total).orderBy(*order).collect()
     return sample[SAMPLES_A_RANGE::SAMPLES_A_RANGE]
 
 
@@ -90,7 +95,7 @@ def range_of(rows: DataFrame, order: Sequence[str], cuts: Sequence) -> Column:
     return search(0, len(cuts))
 
 
-def with_global_rank(rows: DataFrame, order: Sequence[str], ranges: int = 64) -> DataFrame:
+def with_global_rank(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     """One-based ``rank`` in the ascending order of these columns, nulls first, and ``n``, the number of rows.
 
     Rows are ranked within ranges of the order and the sizes of the ranges before are
@@ -98,7 +103,7 @@ def with_global_rank(rows: DataFrame, order: Sequence[str], ranges: int = 64) ->
     sizes and ranks agree however often either is computed. Equal keys share a range:
     give a tie-breaker where one value is very common.
     """
-    inside = rows.withColumn("__range", range_of(rows, order, splitters(rows, order, ranges)))
+    inside = rows.withColumn("__range", range_of(rows, order, splitters(rows, order)))
     sizes = inside.groupBy("__range").agg(F.count("*").alias("__size"))
     every = Window.partitionBy(F.lit(0)).orderBy("__range")  # a row a range
     before = sizes.select("__range", (F.sum("__size").over(every) - F.col("__size")).alias("__before"), F.sum("__size").over(Window.partitionBy(F.lit(0))).alias("n"))

@@ -5,9 +5,10 @@ n, all of which add up over rows. They are kept per domain and never decayed in
 place: forgetting is a weight given when they are combined, so one scan serves every
 factor, rows may arrive in any order, and late rows of an old domain count as its own.
 
-``long_statistics`` is plain SQL over pairs of components. ``block_statistics`` sums
-blocks with matrix products and gives the same cells: each task emits one row per
-cell and key, and the sum over tasks is an ordinary aggregate, spread over cells.
+``long_statistics`` is plain SQL over pairs of components, in one aggregation of one
+scan. ``block_statistics`` sums blocks with matrix products and gives the same cells:
+each task emits one row per cell and key, and the sum over tasks is an ordinary
+aggregate, spread over cells.
 """
 
 from __future__ import annotations
@@ -44,18 +45,34 @@ class Statistics:
         return Statistics(self.r + other.r, self.c + other.c, self.yy + other.yy, self.y + other.y, self.n + other.n)
 
 
-def long_statistics(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str | Column = "y", bias: bool = True) -> DataFrame:
-    """(keys, kind, i, j, v): "r" cells with i <= j, "c" cells with j = -1, and "yy", "y", "n"."""
+def long_statistics(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str | Column = "y", bias: bool = True, width: int | None = None) -> DataFrame:
+    """(keys, kind, i, j, v): "r" cells with i <= j, "c" cells with j = -1, and "yy", "y", "n".
+
+    With the vectors' ``width`` given, every cell is a sum of its own in one aggregate
+    without a row more than it has keys; without it each row is taken apart into its cells.
+    """
     vector = F.col(x).cast("array<double>")
     target = (F.col(y) if isinstance(y, str) else y).cast("double")
     told = rows.select(*keys, (with_bias(vector) if bias else vector).alias("__x"), target.alias("__y"))
-    left = told.select(*keys, "__x", "__y", F.posexplode("__x").alias("i", "__a"))
-    pairs = left.select(*keys, "i", "__a", F.posexplode("__x").alias("j", "__b")).where("i <= j")
-    r = pairs.groupBy(*keys, F.lit("r").alias("kind"), "i", "j").agg(F.sum(F.col("__a") * F.col("__b")).alias("v"))
-    c = left.groupBy(*keys, F.lit("c").alias("kind"), "i", F.lit(-1).alias("j")).agg(F.sum(F.col("__a") * F.col("__y")).alias("v"))
-    sums = told.groupBy(*keys).agg(F.sum(F.col("__y") * F.col("__y")).alias("yy"), F.sum("__y").alias("y"), F.count("*").cast("double").alias("n"))
-    one = sums.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.col(k).alias("v")) for k in ("yy", "y", "n")))).alias("s")).select(*keys, "s.*")
-    return r.unionByName(c).unionByName(one)
+    cell = lambda kind, i, j, v: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), v.cast("double").alias("v"))
+    none, xs, t = F.lit(-1), F.col("__x"), F.col("__y")
+    if width is not None:
+        d = width + bias
+        at = [F.element_at("__x", k + 1) for k in range(d)]
+        sums = [("r", i, j, at[i] * at[j]) for i in range(d) for j in range(i, d)] + [("c", i, -1, at[i] * t) for i in range(d)] + [("yy", -1, -1, t * t), ("y", -1, -1, t), ("n", -1, -1, F.lit(1.0))]
+        wide = told.groupBy(*keys).agg(*(F.sum(v).alias(f"__{k}") for k, (*_, v) in enumerate(sums)))
+        cells = F.array(*(cell(kind, F.lit(i), F.lit(j), F.col(f"__{k}")) for k, (kind, i, j, _) in enumerate(sums)))
+        return wide.select(*keys, F.explode(cells).alias("s")).select(*keys, "s.*")
+    r = F.flatten(F.transform(xs, lambda a, i: F.transform(F.slice(xs, i + 1, F.size(xs)), lambda b, j: cell("r", i, i + j, a * b))))
+    c = F.transform(xs, lambda a, i: cell("c", i, none, a * t))
+    one = F.array(*(cell(kind, none, none, v) for kind, v in (("yy", t * t), ("y", t), ("n", F.lit(1.0)))))
+    apart = told.select(*keys, F.explode(F.concat(r, c, one)).alias("s")).select(*keys, "s.*")
+    return apart.groupBy(*keys, "kind", "i", "j").agg(F.sum("v").alias("v"))
+
+
+def kept_local(cells: DataFrame) -> DataFrame:
+    """Rows whose number is that of cells and keys, not of data: computed once, so that what follows does not scan again."""
+    return cells.sparkSession.createDataFrame(cells.toArrow())
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

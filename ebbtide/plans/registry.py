@@ -10,17 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import forgetting as fg
-from ..functions.grids import dct_basis, gaussian_matrix, target_transform
+from ..functions.grids import dct_basis, depth_to_cells, gaussian_matrix, target_transform
 from ..functions.names import age_in_name, digest_key, extension, flat_key, stem
 from ..functions.vectors import blend, cosine, predict
-from ..operators import metrics, pairing, sampling
+from ..operators import baselines, metrics, pairing, sampling
 from ..operators.solve import ridge_two
-from ..operators.stats import decayed, long_statistics
+from ..operators.stats import block_statistics, collect_statistics, decayed, kept_local, long_statistics
+from ..session import ship_package
 from ..sources import configs, points, sinks
+from .builders import count_domains, count_report
 from .experiments import Experiment, best_factors, samples_of, summaries
 
 LAM = 100.0
@@ -59,7 +63,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_statistics(lines(spark, sf_dir).withColumn("x", F.array("x")), ["d"])
+    return long_statistics(lines(spark, sf_dir).withColumn("x", F.array("x")), ["d"], width=1)
 
 
 def boundaries(spark: SparkSession) -> DataFrame:
@@ -144,7 +148,7 @@ MATRIX_SQL = FIT_SQL + ", m AS (SELECT w.t, l.d AS i, avg(abs(greatest(w1 * x +
 
 def matrix(spark, sf_dir) -> DataFrame:
     """(t, i, value): every model on every domain it has seen."""
-    models = fitted(spark, sf_dir)
+    models = kept_local(fitted(spark, sf_dir))  # a row a domain
     pairs = pairing.seen_pairs(models, models.select(F.col("t").alias("i")))
     told = lines(spark, sf_dir).join(F.broadcast(pairs.join(models, "t")), F.col("d") == F.col("i"))
     return told.groupBy("t", "i").agg(metrics.mae(F.greatest(F.col("w1") * F.col("x") + F.col("w0"), F.lit(0.0)), F.col("y")).alias("value"))
@@ -177,7 +181,7 @@ e AS (SELECT f, k, t, d, (w1*w1*ha + 2*w1*w0*hb + w0*w0*hn - 2*(w1*hp + w0*hq) +
 def held_out_errors(spark, sf_dir) -> DataFrame:
     """(f, k, t, d, err) of every factor, boundary and seen domain, from statistics of the two parts."""
     rows = sampling.with_position(lines(spark, sf_dir), ["d"], "s", "p", "x", "y").withColumn("held", sampling.is_validation(F.col("position"))).withColumn("x", F.array("x"))
-    cells = long_statistics(rows, ["d", "held"])
+    cells = kept_local(long_statistics(rows, ["d", "held"], width=1))  # eight cells a domain and part
     grid = spark.range(1).select(F.posexplode(fg.grid_of_factors()).alias("k", "f"))
     ends = spark.createDataFrame([(0,), (1,), (2,)], "t int")
     weights = F.broadcast(grid.join(ends, F.lit(True)))  # grid times domains
@@ -248,12 +252,13 @@ def tertile_bins(spark, sf_dir):
     return sampling.count_bins(table(spark, sf_dir, "documents"), "n_chars", "doc_id").select("doc_id", "bin")
 
 
-@query("""WITH b AS (SELECT n_chars, CASE WHEN r <= n // 3 THEN 0 WHEN r <= 2 * n // 3 THEN 1 ELSE 2 END AS bin FROM (
-  SELECT n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents))
-SELECT bin, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 6) AS mean FROM b GROUP BY bin""")
+@query("""WITH b AS (SELECT n_chars, CASE WHEN r <= n // 3 THEN 'low' WHEN r <= 2 * n // 3 THEN 'mid' ELSE 'high' END AS bin FROM (
+  SELECT n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS r, count(*) OVER () AS n FROM documents)),
+c AS (SELECT 'docs_' || bin AS name, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, round(avg(n_chars), 6) AS mean FROM b GROUP BY bin)
+SELECT name, n - greatest(1, round_even(n * 0.3::DOUBLE, 0))::BIGINT AS train, greatest(1, round_even(n * 0.3::DOUBLE, 0))::BIGINT AS test, low, high, mean FROM c""")
 def bin_report(spark, sf_dir):
-    binned = sampling.count_bins(table(spark, sf_dir, "documents"), "n_chars", "doc_id")
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.round(F.avg("n_chars"), 6).alias("mean"))
+    counted = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("stem"), F.col("n_chars").alias("count"))
+    return count_report(count_domains(counted, "docs")).withColumn("mean", F.round("mean", 6))
 
 
 @query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS r, count(*) OVER () // 7 AS size FROM orders)
@@ -321,13 +326,13 @@ def parse_fields(spark, sf_dir):
     return p.select("page_id", age_in_name("utkface", c).alias("utk"), age_in_name("agedb", c).alias("agedb"), stem(c).alias("stem"), extension(c).alias("ext"), digest_key(c, "vit", 518).alias("digest"), flat_key(c, "vit", 518).alias("flat"))
 
 
-@query("""WITH f AS (SELECT url AS path FROM pages WHERE page_id % 2 = 0 UNION SELECT url FROM pages WHERE page_id % 3 = 0),
-a AS (SELECT url AS path FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0)
+@query("""WITH f AS (SELECT url AS path FROM pages UNION SELECT url FROM pages WHERE page_id % 3 = 0),
+a AS (SELECT url AS path FROM pages UNION ALL SELECT url FROM pages WHERE page_id % 3 = 0)
 SELECT path, (SELECT count(*) FROM a WHERE a.path = f.path) AS n FROM f""")
 def union_listing(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    every = pages.where("page_id % 2 = 0").select(F.col("url").alias("path")).unionByName(pages.where("page_id % 3 = 0").select(F.col("url").alias("path")))
-    return every.distinct().join(every.groupBy("path").agg(F.count("*").alias("n")), "path").orderBy("path")
+    every = pages.select(F.col("url").alias("path")).unionByName(pages.where("page_id % 3 = 0").select(F.col("url").alias("path")))
+    return every.distinct().join(every.groupBy("path").agg(F.count("*").alias("n")), "path")
 
 
 @query(r"""SELECT doc_id, len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '\S')])::INT AS with_text, len([x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '\S\s+\S')])::INT AS with_points FROM documents""")
@@ -373,15 +378,15 @@ SELECT s, (gy * 8 + gx)::INT AS patch_id, round(CASE WHEN abs(now) > 1e-12 THEN
 
 
 def _smoothed(spark, sf_dir, mode: str) -> DataFrame:
-    import pyarrow as pa
+    return _on_grids(spark, sf_dir, target_transform(mode))
 
-    from ..session import ship_package
 
+def _on_grids(spark, sf_dir, apply: Callable[[list[float]], np.ndarray]) -> DataFrame:
+    """(s, patch_id, y): what a function makes of each sample's grid."""
     ship_package(spark)
     grids = histogram(spark, sf_dir).groupBy("s").agg(F.transform(F.array_sort(F.collect_list(F.struct("patch_id", "y"))), lambda c: c["y"]).alias("y"))  # 64 cells a sample
 
     def run(batches):
-        apply = target_transform(mode)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([apply(y).tolist() for y in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["s", "y"])
 
@@ -398,11 +403,10 @@ def gaussian_smooth(spark, sf_dir):
     return _smoothed(spark, sf_dir, "gauss1.5")
 
 
-@query("""SELECT l_returnflag AS s, ((l_linenumber - 1) // 2)::INT AS gy, (l_suppkey % 4)::INT AS gx, round(avg(least(greatest(l_quantity / 10, 0), 4)), 6) AS depth FROM lineitem GROUP BY 1, 2, 3""")
+@query(f"WITH {CELLS_SQL.replace('l_discount * (518.0 / 0.11)', 'l_discount * 100 * (518.0 / 11)')} SELECT s, (cell // 16 * 4 + cell % 8 // 2)::INT AS patch_id, round(avg(y), 6) AS depth FROM h GROUP BY 1, 2")
 def block_means(spark, sf_dir):
-    depth = F.least(F.greatest(F.col("l_quantity") / 10, F.lit(0.0)), F.lit(4.0))
-    rows = table(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_returnflag").alias("s"), F.expr("CAST((l_linenumber - 1) div 2 AS INT)").alias("gy"), F.expr("CAST(l_suppkey % 4 AS INT)").alias("gx")).agg(F.round(F.avg(depth), 6).alias("depth"))
+    """The histogram as a depth map of 8 x 8, brought to 4 x 4 cells."""
+    return _on_grids(spark, sf_dir, lambda y: depth_to_cells(np.reshape(y, (GRID_SIDE, GRID_SIDE)), GRID_SIDE, 16)).withColumnRenamed("y", "depth")
 
 
 # -- statistics and reports
@@ -416,8 +420,12 @@ def summary_stats(spark, sf_dir):
 @query("""WITH e AS (SELECT vec_id % 3 AS d, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings)
 SELECT d::INT AS d, (k - 1)::INT AS k, round(avg(v), 8) AS mean, round(sqrt(greatest(var_pop(v), 1e-6)), 8) AS sd, round(stddev_pop(v) + 1e-6, 8) AS sd_added FROM e GROUP BY d, k""")
 def standardizer(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.expr("CAST(vec_id % 3 AS INT)").alias("d"), F.posexplode("embedding").alias("k", "v")).withColumn("v", F.col("v").cast("double"))
-    return rows.groupBy("d", "k").agg(F.round(F.avg("v"), 8).alias("mean"), F.round(F.sqrt(F.greatest(F.var_pop("v"), F.lit(1e-6))), 8).alias("sd"), F.round(F.stddev_pop("v") + 1e-6, 8).alias("sd_added"))
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id % 3").alias("d"), F.col("embedding").alias("x"), F.lit(0.0).alias("y"))
+    out = []
+    for (d,), stats in collect_statistics(block_statistics(rows, ["d"]), ["d"]).items():
+        (mean, sd), (_, added) = baselines.standardizer(stats), baselines.standardizer(stats, "added")
+        out += [(d, k, *(round(float(v[k]), 8) for v in (mean, sd, added))) for k in range(len(mean))]
+    return spark.createDataFrame(out, "d int, k int, mean double, sd double, sd_added double")  # a row a domain and feature
 
 
 @query("""WITH e AS (SELECT vec_id // 8 AS s, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding)::DOUBLE AS v FROM embeddings),
@@ -467,7 +475,9 @@ def report_top(spark, sf_dir):
 SELECT target, arg_min(f, (o, f, alpha)) AS best_f, arg_min(alpha, (o, alpha, f)) AS best_alpha, min(o) AS best_o FROM g GROUP BY target""")
 def sweep_argmin(spark, sf_dir):
     told = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("target"), F.col("l_tax").alias("f"), F.col("l_discount").alias("alpha")).agg(F.round(F.avg("l_extendedprice"), 6).alias("o"))
-    return told.groupBy("target").agg(F.min_by("f", F.struct("o", "f", "alpha")).alias("best_f"), F.min_by("alpha", F.struct("o", "alpha", "f")).alias("best_alpha"), F.min("o").alias("best_o"))
+    ranked = told.withColumns({"f_first": F.struct("f", "alpha"), "alpha_first": F.struct("alpha", "f")})
+    by_f, by_alpha = metrics.argmin(ranked, ["target"], "f", "o", "f_first"), metrics.argmin(ranked, ["target"], "alpha", "o", "alpha_first")
+    return by_f.join(by_alpha.drop("best_o"), "target").select("target", "best_f", "best_alpha", "best_o")
 
 
 @query("SELECT (n_nationkey)::INT AS domain_id, n_name AS name, 'jhu' AS kind, '/data/' || n_regionkey AS root, 'train' AS train_split, CASE WHEN n_regionkey = 0 THEN 'val' ELSE 'test' END AS test_split FROM nation")
@@ -582,3 +592,6 @@ def gain_table(spark, sf_dir):
 @query()
 def drift_scores(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(Experiment(vectors(spark, sf_dir)).drift())), "domain int, score double")
+
+
+from . import line_experiments  # noqa: E402, F401  registers its queries here

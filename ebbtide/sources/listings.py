@@ -48,7 +48,7 @@ def _by_candidates(images: DataFrame, labels: DataFrame, patterns) -> DataFrame:
     named = images.select(F.col("path").alias("image"), stem(F.col("path")).alias("stem"))
     there = labels.select(base_name(F.col("path")).alias("name"), F.col("path").alias("label"))
     found = first_candidate(named, candidate_names(F.col("stem"), patterns), there, item="image")
-    return found.join(there, found["found"] == there["name"]).select("stem", "image", "label").orderBy("image")
+    return found.join(there, found["found"] == there["name"]).select("stem", "image", "label")
 
 
 def jhu_pairs(spark: SparkSession, root: str, split: str) -> DataFrame:
@@ -93,14 +93,14 @@ def age_pairs(spark: SparkSession, domain: dict) -> DataFrame:
     """(path, value) of images whose name holds an age in the domain's band, ends included; by path."""
     files = only_images(list_files(spark, domain["root"], recursive=True)).distinct()
     aged = files.withColumn("value", age_in_name(domain["kind"], F.col("path")))
-    return _strict(aged.where(band(F.col("value"), domain["age_min"], domain["age_max"], closed=True)).orderBy("path"), domain["root"])
+    return _strict(aged.where(band(F.col("value"), domain["age_min"], domain["age_max"], closed=True)), domain["root"])
 
 
 def _existing(rows: DataFrame, files: DataFrame, suffixes=("",)) -> DataFrame:
     """Rows (ord, path, value) whose path, with the first suffix that fits, is a file."""
     there = files.select(F.regexp_replace("path", "^file:/+", "/").alias("name"))
     found = first_candidate(rows, [F.concat("path", F.lit(s)) for s in suffixes], there, item="ord")
-    return found.select("ord", F.col("found").alias("path"), "value").orderBy("ord")
+    return found.select("ord", F.col("found").alias("path"), "value")
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.stats import long_statistics
+from ..operators.stats import block_statistics
 
 
 def keep_statistics(rows: DataFrame, keys: Sequence[str], path: str, checkpoint: str, x: str = "x", y: str = "y", once: bool = True) -> StreamingQuery:
     """Add every micro-batch's cells to the table at ``path``."""
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        long_statistics(batch, keys, x, y).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        block_statistics(batch, keys, x, y).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     writer = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
