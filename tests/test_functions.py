@@ -76,10 +76,11 @@ def test_tertiles_leave_the_rest_to_the_last(spark, n):
     assert bins == {i: 0 if k < n // 3 else 1 if k < 2 * n // 3 else 2 for k, i in enumerate(order)}
 
 
-def test_ranks_with_ties_nulls_and_many_ranges(spark):
+def test_ranks_with_ties_nulls_and_many_ranges(spark, monkeypatch):
     rows = [(None if i % 11 == 0 else i % 3, i) for i in range(500)]
     df = spark.createDataFrame(rows, "a int, b int").repartition(5)
-    got = [tuple(r) for r in sampling.with_global_rank(df, ["a", "b"], ranges=7).orderBy("rank").select("a", "b", "rank", "n").collect()]
+    monkeypatch.setattr(sampling, "ROWS_A_RANGE", 30)
+    got = [tuple(r) for r in sampling.with_global_rank(df, ["a", "b"]).orderBy("rank").select("a", "b", "rank", "n").collect()]
     want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     assert got == [(*r, k, 500) for k, r in enumerate(want, 1)]
 
