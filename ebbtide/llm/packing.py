@@ -15,7 +15,7 @@ full as best-fit decreasing makes them.
 Defined cases: null and empty texts have one token (the closing id); texts are read
 whole and cut into any number of pieces; repeated rows are packed each; documents of
 equal length are taken by doc_id and piece; an empty table gives an empty result;
-other columns are not read.
+a null doc_id stays null and comes last among equals; other columns are not read.
 """
 
 from __future__ import annotations

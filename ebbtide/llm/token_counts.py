@@ -8,7 +8,7 @@ travel compressed, so a content that a third of all rows share leaves each task
 once.
 
 Defined cases: null counts as empty and has no tokens; texts are read whole;
-repeated rows each get their row but are encoded once; an empty table gives an
+repeated rows each get their row but are encoded once; a null doc_id stays null; an empty table gives an
 empty result (and an empty cache); other columns are not read.
 """
 

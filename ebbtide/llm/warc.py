@@ -40,6 +40,7 @@ DICTIONARY_BYTES = 32 << 10
 SAMPLES = 256
 SAMPLE_BYTES = 16 << 10
 LEVEL = 3
+SHARED_BROADCAST = 200_000  # digests of 32 bytes with a page each
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -95,22 +96,32 @@ def _headers(data: bytes, at: int) -> tuple[str, dict[str, str], int]:
     return first, found, end + 4
 
 
+def _required(found: dict[str, str], *names: str) -> None:
+    if missing := [n for n in names if n not in found]:
+        raise ArchiveError(f"headers missing: {missing}")
+
+
+def _length(found: dict[str, str]) -> int:
+    if not re.fullmatch(r"[0-9]+", found["content-length"]):
+        raise ArchiveError(f"no length: {found['content-length']!r}")
+    return int(found["content-length"])
+
+
 def parse_record(data: bytes) -> tuple[int | None, int, str, str, int | None]:
     """(page_id, payload bytes, payload digest, type, page referred to) of one record, checked."""
     version, head, at = _headers(data, 0)
     if version not in ("WARC/1.0", "WARC/1.1"):
         raise ArchiveError(f"version {version!r}")
-    missing = {"warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest"} - head.keys()
-    if missing:
-        raise ArchiveError(f"headers missing: {sorted(missing)}")
-    length = int(head["content-length"])
+    _required(head, "warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest")
+    length = _length(head)
     block = data[at : at + length]
     if len(block) != length or data[at + length :] != b"\r\n\r\n":
         raise ArchiveError("the record is not as long as its headers say")
     status, http, start = _headers(block, 0)
     if not status.startswith("HTTP/"):
         raise ArchiveError(f"status line {status!r}")
-    size, body = int(http["content-length"]), block[start:]
+    _required(http, "content-length")
+    size, body = _length(http), block[start:]
     kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
     if kind == "response":
         if len(body) != size or payload_digest(body) != digest:
@@ -118,6 +129,7 @@ def parse_record(data: bytes) -> tuple[int | None, int, str, str, int | None]:
         return _page_of(head["warc-record-id"]), size, digest, kind, None
     if kind != "revisit" or body:
         raise ArchiveError(f"record type {kind!r} with {len(body)} bytes of payload")
+    _required(head, "warc-refers-to")
     return _page_of(head["warc-record-id"]), size, digest, kind, _page_of(head["warc-refers-to"])
 
 
@@ -201,8 +213,11 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     # payloads too small to be revisited have no key and find no first
     key = F.when(F.octet_length("payload") >= min_revisit_bytes, F.unhex(F.sha2(F.col("payload"), 256)))
     keyed = rows.withColumn("key", key)
-    firsts = keyed.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("of")).agg(F.min("page_id").alias("least"))
-    told = keyed.join(firsts, keyed["key"] == firsts["of"], "left")
+    shared = keyed.where(F.col("key").isNotNull()).groupBy(F.col("key").alias("of")).agg(F.min("page_id").alias("least"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = Scratch(pages.sparkSession).save(shared.select("of", "least"), "firsts")
+    # payloads stay where they are while the digests that several pages share are few enough to send everywhere; beyond, they are joined by digest
+    hint = "broadcast" if firsts.count() <= SHARED_BROADCAST else "merge"
+    told = keyed.join(firsts.hint(hint), keyed["key"] == firsts["of"], "left")
     first = F.when(F.col("least").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("least"))), F.col("least"))
     archives = told.select("page_id", "url", "payload", first.alias("first")).mapInArrow(_written, "archive binary")
     archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", LINE_END).option("maxRecordsPerFile", 1).option("compression", "none").text(path)

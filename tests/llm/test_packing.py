@@ -121,6 +121,13 @@ def test_documents_of_every_kind(spark):
     assert sorted(r["offset"] for r in twice) == [0, 2] and len({r["sequence_id"] for r in twice}) == 1
 
 
+def test_a_null_doc_id_stays(spark):
+    df = spark.createDataFrame([(None, "one two"), (None, "one two"), (3, "one two")], "doc_id long, text string")
+    rows = K.pack_documents(df).collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == ["3", "None", "None"] and len({(r["length"], r["ids_crc32"]) for r in rows}) == 1
+    assert max(rows, key=lambda r: r["doc_id"] is not None)["offset"] == 0
+
+
 def test_several_groups_stay_apart(spark):
     df = spark.createDataFrame([(i, 0, 0, 10 + i % 50, 1) for i in range(500)], "doc_id long, piece int, start long, length long, ids_crc32 long")
     rows = K.pack_pieces(df, group_pieces=100).collect()

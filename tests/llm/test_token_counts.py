@@ -38,3 +38,9 @@ def test_query(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = {r["doc_id"]: tuple(r)[1:3] for r in C.op10_token_counts(spark, sf_dir).collect()}
     assert rows == {i: (len(t.encode()), len(ORACLE.encode(t))) for i, t in docs.items()}
+
+
+def test_a_null_doc_id_stays(spark):
+    df = spark.createDataFrame([(None, "abc"), (1, "abc")], "doc_id long, text string")
+    rows = C.count_tokens(df, f"{Scratch(spark).path}/cache").collect()
+    assert {r["doc_id"] for r in rows} == {None, 1} and len({tuple(r)[1:] for r in rows}) == 1

@@ -40,6 +40,11 @@ def test_damage_is_found():
     for bad in (good[:-1], good.replace(b"WARC/1.1", b"WARC/9.9"), good.replace(b"<p>x", b"<p>y"), good.replace(b"WARC-Date", b"X-Date"), good + b"more", good.replace(b"response\r\nWARC-R", b"metadata\r\nWARC-R")):
         with pytest.raises((W.ArchiveError, ValueError)):
             W.parse_record(bad)
+    revisit = W.render_record(2, "u", b"<p>x", 1)
+    assert W.parse_record(revisit)[3:] == ("revisit", 1)
+    for bad in (revisit.replace(b"WARC-Refers-To", b"X-Refers-To00"), revisit.replace(b"html; charset=utf-8\r\nContent-Length", b"html; charset=utf-8\r\nXontent-Length"), good.replace(b"Content-Length: ", b"Content-Length: x")):
+        with pytest.raises(W.ArchiveError):
+            W.parse_record(bad)
     archive = W.write_archive([good])
     for bad in (b"none", archive[8:], archive[:-5], archive + b"12345678901"):
         with pytest.raises((W.ArchiveError, zstandard.ZstdError)):
@@ -60,8 +65,9 @@ def expected(least):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("least", [0, 1, 10])
-def test_written_and_read_back(spark, least):
+@pytest.mark.parametrize("least,most", [(0, W.SHARED_BROADCAST), (0, 0), (1, 0), (10, W.SHARED_BROADCAST)])
+def test_written_and_read_back(spark, monkeypatch, least, most):
+    monkeypatch.setattr(W, "SHARED_BROADCAST", most)  # either way of finding the first
     df = spark.createDataFrame([(*p, 1, "k") for p in PAGES], "page_id long, url string, html string, first int, payload string")
     path = f"{Scratch(spark).path}/w"
     W.write_archives(df, path, least)
