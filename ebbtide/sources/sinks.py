@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The columns of the report.
 REPORT = ("setting", "patch_target", "forget", "alpha_patch", "final_avg_MAE", "nBwT", "oldest_MAE", "newest_MAE")
 
 
@@ -50,5 +51,5 @@ def write_lists(rows: DataFrame, path: str, keys: Sequence[str], value: str = "s
 
 
 def domain_config(names: Sequence[str], root: str, folder: str) -> dict:
-    """A counting configuration whose domains are include lists in ``folder``."""
+    """A counting configuration whose domains are include lists in ``folder``; its keys are fixed values."""
     return {"domains": [{"name": n, "kind": "jhu", "root": root, "train_split": "train", "test_split": "train", "train_include_file": f"{folder}/{n}_train.txt", "test_include_file": f"{folder}/{n}_test.txt"} for n in names]}
