@@ -123,19 +123,24 @@ def block_statistics(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str
 
 
 def collect_statistics(cells: DataFrame, keys: Sequence[str]) -> dict[tuple, Statistics]:
-    """Statistics by key, on the driver: their size is that of the features and domains, not of the rows."""
-    found: dict[tuple, dict[str, list]] = {}
-    for row in cells.toLocalIterator():
-        found.setdefault(tuple(row[k] for k in keys), {}).setdefault(row["kind"], []).append((row["i"], row["j"], row["v"]))
+    """Statistics by key, on the driver, in one Arrow table: their size is that of the features and domains, not of the rows."""
+    got = cells.toArrow()
+    column = {name: got.column(name).to_numpy() for name in [*keys, "i", "j", "v"]}
+    kind = got.column("kind").to_numpy(zero_copy_only=False)
+    marks = np.column_stack([column[k] for k in keys]) if keys else np.zeros((len(kind), 0))
+    every, which = np.unique(marks, axis=0, return_inverse=True)
     out = {}
-    for key, kinds in sorted(found.items()):
-        d = len(kinds["c"])
+    for number, key in enumerate(every.tolist()):
+        mine = which.reshape(-1) == number
+        at = lambda name, mine=mine: np.flatnonzero(mine & (kind == name))
+        rs, cs = at("r"), at("c")
+        d = len(cs)
         r, c = np.zeros((d, d)), np.zeros(d)
-        for i, j, v in kinds["r"]:
-            r[i, j] = r[j, i] = v
-        for i, _, v in kinds["c"]:
-            c[i] = v
-        out[key] = Statistics(r, c, kinds["yy"][0][2], kinds["y"][0][2], int(kinds["n"][0][2]))
+        i, j, v = column["i"][rs], column["j"][rs], column["v"][rs]
+        r[i, j] = r[j, i] = v
+        c[column["i"][cs]] = column["v"][cs]
+        yy, y, n = (float(column["v"][at(name)[0]]) for name in ("yy", "y", "n"))
+        out[tuple(key)] = Statistics(r, c, yy, y, int(n))
     return out
 
 

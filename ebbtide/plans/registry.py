@@ -575,7 +575,7 @@ def adam_baseline(spark, sf_dir):
 @query()
 def adam_by_sample(spark, sf_dir):
     x = Experiment(vectors(spark, sf_dir))
-    return x.evaluate(x.gradient_by_sample(epochs=2)).select("t", "i", "mae", "rel")
+    return x.evaluate(x.gradient_by_sample()).select("t", "i", "mae", "rel")
 
 
 @query()
