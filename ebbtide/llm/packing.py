@@ -42,7 +42,7 @@ SEQUENCE_ATTENTION = SEQUENCE_TOKENS**2
 WEIGHTS = (1.0, 0.001, 0.001)
 GROUP_PIECES = 32_768
 MEMO_CHUNKS = 600_000
-RUN_CHUNKS = 4_000  # looked up together, of one long text or of some texts
+RUN_CHUNKS = 16_000  # looked up together, of one long text or of some texts
 MISSES = 512
 
 
@@ -83,44 +83,42 @@ class ChunkEncoder:
     def _is_one(self, ids: bytes) -> bool:
         return sum(i in self.ends for i in struct.unpack(f"<{len(ids) // 4}I", ids)) == 1
 
-    def _known(self, chunk: bytes) -> bytes | None:
-        if (found := self.new.get(chunk)) is None and (found := self.old.get(chunk)) is not None:
-            self.new[chunk] = found
-        return found
-
     def _learn(self, chunks: set[bytes]) -> None:
-        words: list[str] = []
-        marked: list[tuple[bytes, str, str]] = []
-        others: list[str] = []
-        asked: set[str] = set()
+        """Put the ids of chunks that are not in ``new`` there."""
+        new, old, marks = self.new, self.old, self.marks
+        if old and (kept := chunks & old.keys()):
+            new.update(zip(kept, map(old.__getitem__, kept), strict=True))
+            chunks = chunks - kept
+        words: set[str] = set()
+        marked: list[tuple[bytes, bytes, str]] = []
+        others: list[bytes] = []
         for c in chunks:
-            if self._known(c) is not None:
-                continue
             s = c.decode("utf-8", "replace")
-            word = s[:-1] if s[-1] in self.marks else s
-            if not word.isalpha():
-                others.append(s)
-                continue
-            if word is not s:
-                marked.append((c, word, s[-1]))
-                if self._known(word.encode()) is not None:
-                    continue
-            if word not in asked:
-                asked.add(word)
-                words.append(word)
-        for i in range(0, len(words), MISSES):
-            part = words[i : i + MISSES]
-            for w, ids in zip(part, self._words(part), strict=False):
-                self.new[w.encode()] = ids
-        for c, word, mark in marked:
-            if (ids := self._known(word.encode())) is not None and self._is_one(ids):
-                self.new[c] = ids + self.marks[mark]
-        if words or marked:
-            single = set(others)
-            others += [s for c in chunks if c not in self.new and (s := c.decode("utf-8", "replace")) not in single]
+            if s.isalpha():
+                words.add(s)
+            elif s[-1] in marks and (word := s[:-1]).isalpha():
+                plain = c[:-1]
+                marked.append((c, plain, s[-1]))
+                if plain not in new:
+                    if (found := old.get(plain)) is not None:
+                        new[plain] = found
+                    else:
+                        words.add(word)
+            else:
+                others.append(c)
+        asked = list(words)
+        for i in range(0, len(asked), MISSES):
+            part = asked[i : i + MISSES]
+            new.update(zip((w.encode() for w in part), self._words(part), strict=False))
+        for c, plain, mark in marked:
+            if (ids := new.get(plain)) is not None and self._is_one(ids):
+                new[c] = ids + marks[mark]
+        if asked or marked:
+            told = set(others)
+            others += [c for c in chunks if c not in new and c not in told]
         for i in range(0, len(others), MISSES):
             part = others[i : i + MISSES]
-            self.new.update(zip((s.encode() for s in part), self._single(part), strict=True))
+            new.update(zip(part, self._single([c.decode("utf-8", "replace") for c in part]), strict=True))
 
     def _chunks(self, text: bytes) -> list[bytes]:
         if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
