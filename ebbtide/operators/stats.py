@@ -6,9 +6,10 @@ place: forgetting is a weight given when they are combined, so one scan serves e
 factor, rows may arrive in any order, and late rows of an old domain count as its own.
 
 ``long_statistics`` is plain SQL over pairs of components, in one aggregation of one
-scan. ``block_statistics`` sums blocks with matrix products and gives the same cells:
-each task emits one row per cell and key, and the sum over tasks is an ordinary
-aggregate, spread over cells.
+scan. ``packed_statistics`` sums blocks with matrix products: each task packs what it
+has of a key into one vector, cut into slices of ``SLICE`` numbers, and slices are
+summed over tasks one at a time, spread over keys and slices. ``block_statistics``
+takes the sums apart into the same cells, ``gather_statistics`` brings them to the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,7 @@ from ..functions.vectors import with_bias
 from ..session import ship_package
 
 CELLS = "kind string, i int, j int, v double"
+SLICE = 8_192
 
 
 @dataclass
@@ -83,8 +87,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
-def block_statistics(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str | Column = "y", bias: bool = True, feature: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """The cells of ``long_statistics`` by matrix products; integer keys. ``feature`` maps a block of vectors first."""
+def packed_statistics(
+    rows: DataFrame, keys: Sequence[str], x: str = "x", y: str | Column = "y", bias: bool = True,
+    feature: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """(keys, __d, __slice, __v): upper triangle of R by rows, C, y'y, sum of y and n, in slices; integer keys.
+
+    ``__d`` is the width of R. ``feature`` maps a block of vectors first.
+    """
     ship_package(rows.sparkSession)
     target = (F.col(y) if isinstance(y, str) else y).cast("double")
     told = rows.select(*(F.col(k).cast("long").alias(k) for k in keys), F.col(x).cast("array<double>").alias("__x"), target.alias("__y"))
@@ -102,28 +112,70 @@ def block_statistics(rows: DataFrame, keys: Sequence[str], x: str = "x", y: str
                 some = (marks == mark).all(axis=1)
                 a, b = xs[some], ys[some]
                 add = [a.T @ a, a.T @ b, float(b @ b), float(b.sum()), len(b)]
-                old = held.get(tuple(mark))
-                held[tuple(mark)] = [p + q for p, q in zip(old, add, strict=True)] if old else add
-        for mark, (r, c, yy, ysum, n) in held.items():
-            i, j = np.triu_indices(len(c))
-            d = len(c)
-            kinds = ["r"] * len(i) + ["c"] * d + ["yy", "y", "n"]
-            none = np.full(3, -1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(pa.array(np.full(len(kinds), int(m), np.int64)) for m in mark), pa.array(kinds),
-                    pa.array(np.concatenate([i, np.arange(d), none]).astype(np.int32)), pa.array(np.concatenate([j, np.full(d, -1), none]).astype(np.int32)),
-                    pa.array(np.concatenate([r[i, j], c, [yy, ysum, float(n)]])),
-                ],
-                names=[*keys, "kind", "i", "j", "v"],
-            )
-
-    schema = "".join(f"{k} long, " for k in keys) + CELLS
-    return told.mapInArrow(run, schema).groupBy(*keys, "kind", "i", "j").agg(F.sum("v").alias("v"))
+                key = (*map(int, mark), a.shape[1])
+                old = held.get(key)
+                held[key] = [p + q for p, q in zip(old, add, strict=True)] if old else add
+        for key, (r, c, yy, ysum, n) in held.items():
+            packed = np.concatenate([r[np.triu_indices(len(c))], c, [yy, ysum, float(n)]])
+            cuts = np.append(np.arange(0, len(packed), SLICE), len(packed)).astype(np.int32)
+            parts = len(cuts) - 1
+            columns = [pa.array(np.full(parts, k, np.int64)) for k in key[:-1]]
+            columns += [pa.array(np.full(parts, key[-1], np.int32)), pa.array(np.arange(parts, dtype=np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(cuts, packed)], names=[*keys, "__d", "__slice", "__v"])
+
+    schema = "".join(f"{k} long, " for k in keys) + "__d int, __slice int, __v array<double>"
+    total = vector_to_array(Summarizer.sum(array_to_vector("__v")))
+    return told.mapInArrow(run, schema).groupBy(*keys, "__d", "__slice").agg(total.alias("__v"))
+
+
+def block_statistics(
+    rows: DataFrame, keys: Sequence[str], x: str = "x", y: str | Column = "y", bias: bool = True,
+    feature: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> DataFrame:
+    """The cells of ``long_statistics`` by matrix products; integer keys. ``feature`` maps a block of vectors first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                d, values = row["__d"], np.array(row["__v"])
+                i, j = (np.concatenate([t, np.arange(d) if k == 0 else np.full(d, -1), np.full(3, -1)]) for k, t in enumerate(np.triu_indices(d)))
+                kinds = np.array(["r"] * (d * (d + 1) // 2) + ["c"] * d + ["yy", "y", "n"])
+                at = slice(row["__slice"] * SLICE, row["__slice"] * SLICE + len(values))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.full(len(values), row[k], np.int64)) for k in keys), pa.array(kinds[at]),
+                     pa.array(i[at].astype(np.int32)), pa.array(j[at].astype(np.int32)), pa.array(values)],
+                    names=[*keys, "kind", "i", "j", "v"],
+                )
+
+    return packed_statistics(rows, keys, x, y, bias, feature).mapInArrow(run, "".join(f"{k} long, " for k in keys) + CELLS)
+
+
+def gather_statistics(
+    rows: DataFrame, keys: Sequence[str], x: str = "x", y: str | Column = "y", bias: bool = True,
+    feature: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> dict[tuple, Statistics]:
+    """Statistics by key, on the driver: their size is that of the features and domains, not of the rows."""
+    got = packed_statistics(rows, keys, x, y, bias, feature).toArrow().combine_chunks()
+    got = got.sort_by([(k, "ascending") for k in (*keys, "__d", "__slice")])
+    marks = list(zip(*(got.column(k).to_pylist() for k in (*keys, "__d")), strict=True))
+    values = got.column("__v").combine_chunks()
+    numbers, ends = values.flatten().to_numpy(), np.cumsum(values.value_lengths().to_numpy())
+    out: dict[tuple, Statistics] = {}
+    for first in [k for k, m in enumerate(marks) if not k or m != marks[k - 1]]:
+        *key, d = marks[first]
+        if tuple(key) in out:
+            raise ValueError(f"vectors of different lengths: {[len(out[tuple(key)].c), d]}")
+        size = d * (d + 1) // 2
+        v = numbers[(ends[first - 1] if first else 0) :][: size + d + 3]
+        r = np.zeros((d, d))
+        i, j = np.triu_indices(d)
+        r[i, j] = r[j, i] = v[:size]
+        out[tuple(key)] = Statistics(r, v[size : size + d].copy(), float(v[-3]), float(v[-2]), round(float(v[-1])))
+    return out
 
 
 def collect_statistics(cells: DataFrame, keys: Sequence[str]) -> dict[tuple, Statistics]:
-    """Statistics by key, on the driver, in one Arrow table: their size is that of the features and domains, not of the rows."""
+    """Statistics by key from a table of cells, on the driver, in one Arrow table."""
     got = cells.toArrow()
     column = {name: got.column(name).to_numpy() for name in [*keys, "i", "j", "v"]}
     kind = got.column("kind").to_numpy(zero_copy_only=False)
@@ -140,7 +192,7 @@ def collect_statistics(cells: DataFrame, keys: Sequence[str]) -> dict[tuple, Sta
         r[i, j] = r[j, i] = v
         c[column["i"][cs]] = column["v"][cs]
         yy, y, n = (float(column["v"][at(name)[0]]) for name in ("yy", "y", "n"))
-        out[tuple(key)] = Statistics(r, c, yy, y, int(n))
+        out[tuple(key)] = Statistics(r, c, yy, y, round(n))
     return out
 
 

@@ -28,7 +28,7 @@ from ..operators.sampling import is_validation
 from ..operators.scoring import score
 from ..operators.selection import GRID, best_factor, drift_scores, estimate, held_out_factors, predicted_factor
 from ..operators.solve import ridge, squared_error, weights_by_boundary
-from ..operators.stats import Statistics, block_statistics, collect_statistics
+from ..operators.stats import Statistics, gather_statistics
 from ..session import ship_package
 
 SAMPLE = ("domain_id", "split", "sample_id", "ord")
@@ -77,12 +77,12 @@ class Experiment:
     @cached_property
     def _patch_cells(self) -> dict[tuple, Statistics]:
         told = transform_targets(self.train, self.patch_target).withColumn("part", is_validation(F.col("ord")).cast("int"))
-        return collect_statistics(block_statistics(told, ["domain_id", "part"]), ["domain_id", "part"])
+        return gather_statistics(told, ["domain_id", "part"])
 
     @cached_property
     def _image_cells(self) -> dict[tuple, Statistics]:
         told = samples_of(self.train).withColumn("part", is_validation(F.col("ord")).cast("int"))
-        return collect_statistics(block_statistics(told, ["domain_id", "part"]), ["domain_id", "part"])
+        return gather_statistics(told, ["domain_id", "part"])
 
     @cached_property
     def domains(self) -> int:
@@ -116,7 +116,7 @@ class Experiment:
         told = transform_targets(self.train, self.patch_target).join(count, ["domain_id", "sample_id"])
         w = F.sqrt(F.lit(1.0) / F.col("n"))
         even = told.select("domain_id", F.transform(F.concat(F.col("x").cast("array<double>"), F.array(F.lit(1.0))), lambda v: v * w).alias("x"), (F.col("y") * w).alias("y"))
-        cells = collect_statistics(block_statistics(even, ["domain_id"], bias=False), ["domain_id"])
+        cells = gather_statistics(even, ["domain_id"], bias=False)
         images = self._part(self._image_cells, None)
         out = [cells[(d,)] for d in range(self.domains)]
         return [Statistics(s.r, s.c, s.yy, s.y, images[d].n) for d, s in enumerate(out)]
@@ -174,14 +174,21 @@ class Experiment:
             log.append({"task": t, "forget": f, "innovation": energy, "rho_hat": rho, "postfit_residual": after, "noise_floor": floor})
         return log
 
-    def projected(self, width: int, seed: int = 0, factors: float = 1.0, norm: str = "mean") -> tuple[list[Model], Callable[[np.ndarray], np.ndarray]]:
-        """Models on fixed random rectified features, and the function that makes those."""
-        samples = samples_of(self.train)
+    def projected(
+        self, width: int, seed: int = 0, factors: float | Sequence[float] = 1.0, norm: str = "mean", patches: bool = False
+    ) -> tuple[list[Model], Callable[[np.ndarray], np.ndarray]]:
+        """Models on fixed random rectified features, of one head or both, and the function that makes those."""
         matrix = projection_matrix(len(self._part(self._image_cells, None)[0].c) - 1, width, seed)
         feature = lambda x: project(x, matrix)
-        cells = collect_statistics(block_statistics(samples, ["domain_id"], feature=feature), ["domain_id"])
-        stats = [cells[(d,)].scaled(s) for d, s in enumerate(self.scale(norm))]
-        return [Model(f"projected={width}", t, norm, None, w) for t, w in enumerate(weights_by_boundary(stats, factors, self.lam))], feature
+
+        def weights(rows: DataFrame) -> list[np.ndarray]:
+            cells = gather_statistics(rows, ["domain_id"], feature=feature)
+            stats = [cells[(d,)].scaled(s) for d, s in enumerate(self.scale(norm))]
+            return weights_by_boundary(stats, factors, self.lam)
+
+        images = weights(samples_of(self.train))
+        heads = weights(transform_targets(self.train, self.patch_target)) if patches else [None] * self.domains
+        return [Model(f"projected={width}", t, norm, p, i) for t, (p, i) in enumerate(zip(heads, images, strict=True))], feature
 
     def gradient(self, norm: str = "mean", epochs: int = 15, rate: float = 0.01, penalty: float = 1e-4) -> list[Model]:
         """Full-batch gradient models, brought back to raw features."""
@@ -213,24 +220,28 @@ class Experiment:
 
     # -- evaluation
 
-    def evaluate(self, models: Sequence[Model], alpha: float | Sequence[float] | None = None, feature: Callable[[np.ndarray], np.ndarray] | None = None, own_only: bool = False) -> DataFrame:
+    def evaluate(
+        self, models: Sequence[Model], alpha: float | Sequence[float] | None = None,
+        feature: Callable[[np.ndarray], np.ndarray] | None = None, own_only: bool = False,
+    ) -> DataFrame:
         """(label, norm, alpha, t, i, mae, rel) of every model on each domain it has seen (or its own only), in one scan a head."""
         spark = self.rows.sparkSession
         alphas = [self.alpha if alpha is None else alpha] if not isinstance(alpha, Sequence) else list(alpha)
         keys = ["domain_id", "sample_id"]
-        samples = samples_of(self.test)
-        image = score(samples, np.stack([m.image for m in models], axis=1), keys, non_negative=self.clip, feature=feature).withColumnRenamed("pred", "image")
+        seen = np.array([[d == m.t if own_only else d <= m.t for m in models] for d in range(self.domains)])
+        stacked = lambda head: np.stack([getattr(m, head) for m in models], axis=1)
+        image = score(samples_of(self.test), stacked("image"), keys, "x", self.clip, feature, seen, "y")
+        image = image.withColumnsRenamed({"pred": "image", "y": "truth"})
         if models[0].patch is not None:
-            patch = score(self.test, np.stack([m.patch for m in models], axis=1), keys, non_negative=self.clip).withColumnRenamed("pred", "patches")
+            patch = score(self.test, stacked("patch"), keys, "x", self.clip, feature, seen).withColumnRenamed("pred", "patches")
             both, mixes = image.join(patch, [*keys, "model"]), alphas
         else:
             both, mixes = image.withColumn("patches", F.lit(0.0)), [0.0]
         named = spark.createDataFrame([(k, m.label, m.norm, m.t) for k, m in enumerate(models)], "model int, label string, norm string, t int")
-        scales = spark.createDataFrame([(n, d, float(s)) for n in {m.norm for m in models} for d, s in enumerate(self.scale(n))], "norm string, domain_id long, scale double")
-        seen = (F.col("domain_id") == F.col("t")) if own_only else (F.col("domain_id") <= F.col("t"))
-        told = both.join(F.broadcast(named), "model").where(seen).join(F.broadcast(scales), ["norm", "domain_id"])  # both of a row a model or domain
-        truth = samples.select(F.col("domain_id").cast("long"), F.col("sample_id").cast("long"), F.col("y").alias("truth"))
-        mixed = told.join(truth, keys).withColumn("alpha", F.explode(F.array(*map(F.lit, mixes))))
+        scales = [(n, d, float(s)) for n in {m.norm for m in models} for d, s in enumerate(self.scale(n))]
+        told = both.join(F.broadcast(named), "model")  # a row a model
+        told = told.join(F.broadcast(spark.createDataFrame(scales, "norm string, domain_id long, scale double")), ["norm", "domain_id"])  # a row a domain
+        mixed = told.withColumn("alpha", F.explode(F.array(*map(F.lit, mixes))))
         pred = blend(F.col("patches"), F.col("image"), F.col("alpha"), F.col("scale"))
         pred = pred if self.clip else (F.col("alpha") * F.col("patches") + (1.0 - F.col("alpha")) * F.col("image")) * F.col("scale")
         out = mixed.withColumn("pred", pred).groupBy("label", "norm", "alpha", "t", F.col("domain_id").cast("int").alias("i"))

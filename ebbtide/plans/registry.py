@@ -21,7 +21,7 @@ from ..functions.names import age_in_name, digest_key, extension, flat_key, stem
 from ..functions.vectors import blend, cosine, predict
 from ..operators import baselines, metrics, pairing, sampling
 from ..operators.solve import ridge_two
-from ..operators.stats import block_statistics, collect_statistics, decayed, kept_local, long_statistics
+from ..operators.stats import decayed, gather_statistics, kept_local, long_statistics
 from ..session import ship_package
 from ..sources import configs, points, sinks
 from .builders import count_domains, count_report
@@ -422,7 +422,7 @@ SELECT d::INT AS d, (k - 1)::INT AS k, round(avg(v), 8) AS mean, round(sqrt(grea
 def standardizer(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id % 3").alias("d"), F.col("embedding").alias("x"), F.lit(0.0).alias("y"))
     out = []
-    for (d,), stats in collect_statistics(block_statistics(rows, ["d"]), ["d"]).items():
+    for (d,), stats in gather_statistics(rows, ["d"]).items():
         (mean, sd), (_, added) = baselines.standardizer(stats), baselines.standardizer(stats, "added")
         out += [(d, k, *(round(float(v[k]), 8) for v in (mean, sd, added))) for k in range(len(mean))]
     return spark.createDataFrame(out, "d int, k int, mean double, sd double, sd_added double")  # a row a domain and feature
@@ -562,7 +562,7 @@ def single_domain(spark, sf_dir):
 @query()
 def random_projection(spark, sf_dir):
     x = Experiment(vectors(spark, sf_dir))
-    models, feature = x.projected(128)
+    models, feature = x.projected(2000)
     return x.evaluate(models, feature=feature).select("t", "i", "mae", "rel")
 
 

@@ -41,8 +41,37 @@ def markdown(rows: DataFrame, lines: int = 20) -> str:
 
 
 def append_rows(rows: DataFrame, path: str) -> None:
-    """CSV files beside those that are there, each with the header."""
-    rows.write.mode("append").option("header", True).csv(path)
+    """Add rows to a CSV table that stays one file with one header; for results of a row a run, since the file is rewritten.
+
+    The new file is written beside the table and takes its place in one move; columns must be those of the table.
+    """
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    where, beside, before = (hadoop(path.rstrip("/") + end) for end in ("", "__next", "__before"))
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where) and files.exists(before):  # a run ended between the two moves
+        files.rename(before, where)
+    text = rows.select(*(F.col(c).cast("string").alias(c) for c in rows.columns))
+    if files.exists(where):
+        text = spark.read.option("header", True).csv(str(where)).select(*rows.columns).unionByName(text)
+    text.coalesce(1).write.mode("overwrite").option("header", True).csv(str(beside))
+    if files.exists(where):
+        files.delete(before, True)
+        files.rename(where, before)
+    files.rename(beside, where)
+    files.delete(before, True)
+
+
+def text_table(rows: DataFrame, lines: int = 40) -> str:
+    """The first rows as aligned text for a console; what was not evaluated is a dot."""
+    def cell(v: object) -> str:
+        if v is None or v != v:
+            return "."
+        return f"{v:.4g}" if isinstance(v, float) else "[" + ", ".join(map(cell, v)) + "]" if isinstance(v, list) else str(v)
+
+    told = [rows.columns, *([cell(v) for v in r] for r in rows.limit(lines).collect())]
+    widths = [max(map(len, c)) for c in zip(*told, strict=True)]
+    return "\n".join("  ".join(v.rjust(w) for v, w in zip(r, widths, strict=True)) for r in told) + "\n"
 
 
 def write_lists(rows: DataFrame, path: str, keys: Sequence[str], value: str = "stem") -> None:
@@ -52,4 +81,6 @@ def write_lists(rows: DataFrame, path: str, keys: Sequence[str], value: str = "s
 
 def domain_config(names: Sequence[str], root: str, folder: str) -> dict:
     """A counting configuration whose domains are include lists in ``folder``; its keys are fixed values."""
-    return {"domains": [{"name": n, "kind": "jhu", "root": root, "train_split": "train", "test_split": "train", "train_include_file": f"{folder}/{n}_train.txt", "test_include_file": f"{folder}/{n}_test.txt"} for n in names]}
+    common = {"kind": "jhu", "root": root, "train_split": "train", "test_split": "train"}
+    lists = lambda n: {f"{s}_include_file": f"{folder}/{n}_{s}.txt" for s in ("train", "test")}
+    return {"domains": [{"name": n, **common, **lists(n)} for n in names]}

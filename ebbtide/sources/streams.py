@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.names import digest_key
 from ..operators.sampling import pick_positions, sample_positions, share_split, with_global_rank
 from ..session import ship_package
-from . import listings
+from . import configs, listings
 from .cache import read_through
 from .images import extract_features, read_depth_targets
 from .points import cell_counts, read_mat_points, read_point_files
@@ -107,7 +107,8 @@ def _rows(pairs: DataFrame, vectors: DataFrame, targets: DataFrame, domain_id: i
     """Join samples (image, ord), vectors (key, patch_id, x) and targets (image, patch_id, y)."""
     keyed = pairs.select("image", "ord", digest_key(F.col("image"), backbone, size).alias("key"))
     told = keyed.join(vectors, "key").join(targets, ["image", "patch_id"])
-    return told.select(F.lit(domain_id).alias("domain_id"), F.lit(split).alias("split"), (F.lit(domain_id * 2 + (split != "train")) * F.lit(10**9) + F.col("ord")).alias("sample_id"), "ord", F.col("patch_id").cast("int"), "x", "y")
+    sample = F.lit((domain_id * 2 + (split != "train")) * 10**9).cast("long") + F.col("ord")
+    return told.select(F.lit(domain_id).alias("domain_id"), F.lit(split).alias("split"), sample.alias("sample_id"), "ord", F.col("patch_id").cast("int"), "x", "y")
 
 
 def counting_stream(spark: SparkSession, domain: dict, domain_id: int, split: str, extractor: Extractor, cache: str, cells: int, most: int | None = None, backbone: str = "vit", size: int = 518) -> DataFrame:
@@ -151,3 +152,31 @@ def scalar_stream(spark: SparkSession, kind: str, domain: dict, domain_id: int,
     pooled = lambda data: np.asarray(extractor(data), float).mean(axis=0, keepdims=True)
     targets = chosen.select("image", F.lit(0).alias("patch_id"), F.col("value").alias("y"))
     return _rows(chosen, features(chosen, pooled, cache, backbone, size), targets, domain_id, split, backbone, size)
+
+
+def configured_rows(
+    spark: SparkSession, path: str, kind: str, extractor: Extractor, cache: str, cells: int, out: str,
+    most: int | None = None, backbone: str = "vit", size: int = 518,
+) -> DataFrame:
+    """Rows of both splits of every domain of a configuration, from a table at ``out`` that is written anew.
+
+    Streams are written one by one: each reads the feature table as it then is, and Spark takes two scans of
+    one path for the same even if files came in between.
+    """
+    domains = configs.read_config(spark, path, kind)
+    if kind in configs.KINDS:
+        configs.check_kinds(domains, kind)
+    mode = "overwrite"
+    for r in domains.orderBy("domain_id").collect():  # a row a domain
+        domain = r.asDict()
+        for split in ("train", "test"):
+            if kind in ("counting", "depth"):
+                read = counting_stream if kind == "counting" else depth_stream
+                rows = read(spark, domain, r["domain_id"], split, extractor, cache, cells, most, backbone, size)
+            else:
+                rows = scalar_stream(spark, kind, domain, r["domain_id"], split, extractor, cache, most, backbone, size)
+            rows.write.mode(mode).parquet(out)
+            mode = "append"
+    if mode == "overwrite":
+        raise ValueError(f"no domains in {path}")
+    return spark.read.parquet(out)

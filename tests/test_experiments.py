@@ -215,6 +215,29 @@ def test_random_projection(rows, data):
         a = bias(np.maximum(tr[t][0] @ matrix, 0))
         r, c = r + a.T @ a, c + a.T @ (tr[t][1] / x.scales[t])
     assert models[-1].image == pytest.approx(np.linalg.solve(r + LAM * np.eye(8), c))
+    both, feature = x.projected(7, factors=0.5, patches=True)
+    r, c = np.zeros((8, 8)), np.zeros(8)
+    for t in range(3):
+        mine = x.train.where(f"domain_id = {t}").select("x", "y").collect()
+        a = bias(np.maximum(np.array([m["x"] for m in mine]) @ matrix, 0))
+        r, c = 0.5 * r + a.T @ a, 0.5 * c + a.T @ (np.array([m["y"] for m in mine]) / x.scales[t])
+    assert both[-1].patch == pytest.approx(np.linalg.solve(r + LAM * np.eye(8), c))
+    assert x.evaluate(both, feature=feature).count() == 6
+
+
+def test_gathered_statistics_equal_the_cells(rows, monkeypatch):
+    from ebbtide.operators import stats
+
+    train = rows.where("split = 'train'").withColumnRenamed("domain_id", "d")
+    want = stats.collect_statistics(stats.long_statistics(train, ["d"]), ["d"])
+    for size in (stats.SLICE, 5):
+        monkeypatch.setattr(stats, "SLICE", size)
+        for got in (stats.gather_statistics(train, ["d"]), stats.collect_statistics(stats.block_statistics(train, ["d"]), ["d"])):
+            assert got.keys() == want.keys()
+            for k, s in got.items():
+                assert s.r == pytest.approx(want[k].r) and s.c == pytest.approx(want[k].c)
+                assert (s.yy, s.y, s.n) == (pytest.approx(want[k].yy), pytest.approx(want[k].y), want[k].n)
+    assert stats.gather_statistics(train.limit(0), ["d"]) == {}
 
 
 def test_theory_curve(rows, data):

@@ -203,6 +203,9 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_rows(rows.coalesce(1), str(tmp_path / "a"))
     assert spark.read.option("header", True).csv(str(tmp_path / "a")).count() == 4
+    (one,) = (tmp_path / "a").glob("part-*")
+    assert [x.startswith("setting,") for x in one.read_text().splitlines()] == [True, False, False, False, False]
+    assert sinks.text_table(rows.select("setting", "nBwT")).splitlines()[1].split() == ["s", "."]
     lists = spark.createDataFrame([("x", "train", "1"), ("x", "test", "2")], "bin string, split string, stem string")
     sinks.write_lists(lists, str(tmp_path / "l"), ["bin", "split"])
     assert spark.read.text(str(tmp_path / "l")).where("split = 'test'").first()["value"] == "2"
