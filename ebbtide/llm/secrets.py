@@ -14,10 +14,10 @@ compressor decides on every candidate. Long words and names that are explained b
 neither are among them, and so are random identifiers such as UUIDs.
 
 The dictionary holds the identifiers of programming languages and those of the corpus
-itself, learned from a bounded sample drawn by hash (``SAMPLE_ROWS`` texts of up to
-``SAMPLE_BYTES``): parts of names that stand in ``MIN_DOCUMENTS`` different texts or
-more, the commonest first, up to ``DICTIONARY_BYTES``. What stands in sensitive
-context is never learned.
+itself, counted exactly over all its texts, each whole: parts of names that stand in
+``MIN_DOCUMENTS`` different texts or more, the commonest first, up to
+``DICTIONARY_BYTES``. Copies of a text count once. What stands in sensitive context is
+never learned.
 
 A text is read from left to right once, whatever it holds, and each candidate is
 measured once, against at most ``AROUND`` characters on either side.
@@ -33,7 +33,7 @@ import builtins
 import hashlib
 import keyword
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.sampling import hash_sample
-from ._common import arrow_map, as_texts, table
+from ._common import Scratch, arrow_map, as_texts, bounded_batches, table, take_worker
 
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -79,10 +78,11 @@ WORDS = (
     "session set settings share signature size sort source src start state static status step store stream string system table tag target task template test text thread time timeout title token "
     "transaction tree type unique unit update url user usr value variable vector version view width window worker write www xml"
 ).split()
-SAMPLE_ROWS = 512
-SAMPLE_BYTES = 64 << 10
 DICTIONARY_BYTES = 24 << 10
 MIN_DOCUMENTS = 3
+COPIED_BROADCAST = 500_000  # digests of 16 bytes with a count each
+HELD_NAMES = 100_000  # that a task holds before it gives their counts
+LONG_STRETCH = 1 << 20  # code points, beyond which matches are not listed at once
 NAME = re.compile(r"[A-Z]?[a-z]{3,23}|[A-Z]{4,24}")
 MASK = "[SECRET]"
 
@@ -92,20 +92,60 @@ def base_dictionary() -> bytes:
     return "\n".join([*names, *(f"{w} = {w}_{v}" for w, v in zip(WORDS, WORDS[1:], strict=False))]).encode()
 
 
+def names_of(text: str) -> set[str]:
+    """Parts of names outside the strings in sensitive context."""
+    found: set[str] = set()
+    at = 0
+    for start, end in (*candidates(text), (len(text), len(text))):
+        found.update(NAME.findall(text, at, start) if start - at <= LONG_STRETCH else (m[0] for m in NAME.finditer(text, at, start)))
+        at = end
+    return found
+
+
+def _name_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, copies, n) of rows (text, copies): how many texts of so many copies hold a name."""
+    take_worker(__name__)
+    held: defaultdict[int, Counter[str]] = defaultdict(Counter)
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for copies, seen in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array([copies] * len(seen), pa.int64()), pa.array(seen.values(), pa.int64())], names=["name", "copies", "n"])
+        held.clear()
+
+    for batch in batches:
+        for text, copies in zip(as_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            held[copies].update(names_of(text))
+        if sum(map(len, held.values())) > HELD_NAMES:
+            yield from given()
+    yield from given()
+
+
+def document_frequencies(docs: DataFrame, text: str = "text", broadcast: int = COPIED_BROADCAST) -> DataFrame:
+    """(name, n): in how many different texts of the whole corpus a name stands.
+
+    Texts stay where they are: of c copies each counts, and the sum is divided by c. Only where more than ``broadcast``
+    texts have copies do the texts go through a shuffle that leaves one of each.
+    """
+    bounded_batches(docs.sparkSession)
+    texts = docs.select(F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    digest = F.unhex(F.md5("text"))
+    scratch = Scratch(docs.sparkSession)
+    copied = scratch.save(texts.groupBy(digest.alias("digest")).agg(F.count("*").alias("copies")).where("copies > 1"), "copied")
+    if copied.count() <= broadcast:
+        told = texts.join(F.broadcast(copied), digest == F.col("digest"), "left").select("text", F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    else:
+        told = texts.distinct().withColumn("copies", F.lit(1).cast("long"))
+    summed = told.mapInArrow(_name_counts, "name string, copies long, n long").groupBy("name", "copies").agg(F.sum("n").alias("n"))
+    return summed.groupBy("name").agg(F.sum(F.expr("n div copies")).alias("n"))
+
+
 def learn_dictionary(docs: DataFrame, text: str = "text") -> bytes:
-    """The base dictionary behind the corpus's commonest names (a match is cheapest near the end), from a bounded sample."""
-    rows = docs.select(F.col(text).cast("string").alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES)
-    sample = hash_sample(rows, ["text"], SAMPLE_ROWS, docs.count()).collect()  # bounded in rows and bytes
-    seen: Counter[str] = Counter()
-    for content in {r["text"] for r in sample}:
-        parts, at = [], 0
-        for start, end in candidates(content):
-            parts += [content[at:start], " "]
-            at = end
-        seen.update(set(NAME.findall("".join([*parts, content[at:]]))))
+    """The base dictionary behind the corpus's commonest names (a match is cheapest near the end)."""
+    most = DICTIONARY_BYTES // 4  # names have three characters at least, and a line end
+    common = document_frequencies(docs, text).where(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "name").limit(most).collect()
     names, size = [], 0
-    for name, n in sorted(seen.items(), key=lambda x: (-x[1], x[0])):
-        if n < MIN_DOCUMENTS or size + len(name) >= DICTIONARY_BYTES:
+    for name, _ in common:
+        if size + len(name) >= DICTIONARY_BYTES:
             break
         names.append(name)
         size += len(name) + 1

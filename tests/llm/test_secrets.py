@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 
@@ -120,6 +121,21 @@ def test_the_dictionary_is_learned_from_the_corpus_but_never_from_sensitive_cont
     assert S.learn_dictionary(spark.createDataFrame([(1, None)], "doc_id long, text string")).endswith(S.base_dictionary())
 
 
+def test_the_dictionary_counts_every_text_whole_and_copies_once(spark):
+    rare, filler = "Quibbleflorp", "plain words of a text " * 4_000  # longer than 64 KB
+    rows = [(f"text number {chr(97 + i % 26) * (3 + i // 26)}",) for i in range(400)] * 2  # of 400 different texts
+    rows += [(f"{filler} {rare} {'x' * i}",) for i in range(3)] + [("Wobblegnash once",)] * 50 + [("Zanderplik both",)] * 2 + [("Zanderplik one more",), ("Zanderplik two key ZanderplikZanderplik",), (None,), ("",)]
+    docs = spark.createDataFrame(rows, "text string").repartition(7)
+    want = Counter()
+    for t in {r[0] or "" for r in rows}:
+        want.update(S.names_of(t))
+    for broadcast in (S.COPIED_BROADCAST, 0):
+        assert {r["name"]: r["n"] for r in S.document_frequencies(docs, broadcast=broadcast).collect()} == want
+    learned = S.learn_dictionary(docs)
+    assert want[rare] == 3 and rare.encode() in learned and b"Zanderplik" in learned and b"Wobblegnash" not in learned
+    assert S.names_of("oneName " * 300_000) == {"one", "Name"}
+
+
 @pytest.mark.parametrize("line", ["key ", "token=abcdefghijklmnop ", "the secret key Zx9fQ2LmTp7WvKc4 ", "passwordpassword", "key." * 8 + " "])
 def test_time_grows_with_the_length_of_the_text(line):
     def seconds(size):
