@@ -13,6 +13,7 @@ from test_secrets import brute as secrets  # noqa: E402
 from test_simhash import brute_components, fingerprint  # noqa: E402
 
 from ebbtide.llm import toxicity  # noqa: E402
+from ebbtide.llm.secrets import base_dictionary, redact  # noqa: E402
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -91,3 +92,10 @@ def test_stages_take_odd_and_empty_tables(spark, sf_dir):
         docs = STAGES["quality_rules"](spark, docs, sf_dir)
         assert [r["doc_id"] for r in STAGES["simhash_near_dedup"](spark, docs, sf_dir).collect()] == ([3] if rows else [])
         assert docs.where(F.col("__row") != 2).count() == 0
+
+
+def test_the_secret_stage_knows_the_names_of_long_texts(spark, sf_dir):
+    long, text = "Quibbleflorp and Wobblegnash in plain words " * 2_000, "see key QuibbleflorpWobblegnash there"
+    assert redact(text, base_dictionary()) != text
+    docs = spark.createDataFrame([(i, f"{long}{'x' * i}") for i in range(3)] + [(9, text)], "doc_id long, text string")
+    assert texts(STAGES["secret_scan"](spark, docs, sf_dir))[9] == text
