@@ -1,6 +1,7 @@
 """Toxicity by a lexicon trie met with Levenshtein automata, and context windows.
 
-Training reads a bounded sample of labelled documents (``TRAIN_ROWS``). Words whose
+Training reads all labelled documents that are not held out, each whole and exact
+copies once. Words whose
 document frequency is far higher among toxic documents become the lexicon; where at
 least ``MIN_FORMS`` of them begin alike and that beginning tells toxic documents too,
 it takes their place as a stem, a prefix with any ending. The lexicon has no size
@@ -12,14 +13,15 @@ The lexicon's trie is intersected with Levenshtein automata (one error in words
 letters or more, two from 9; stems exactly), and the product is determinised lazily,
 so that a word is read once, letter by letter, however many terms there are. A near
 hit counts as a hit. What is near a term but no misspelling is learned: words that
-benign documents of the sample share are no near hits, and a term whose other near
+benign documents share are no near hits, and a term whose other near
 words stand in benign documents more than misspellings would account for
 (``MISSPELT_SHARE`` of the documents that hold the term) is met without errors only.
 
 Each hit is weighed by its window: quotation marks and words of report lower it,
 direct address raises it. A small logistic model over these sums gives the score; its
 weights are bounded so that a hit never speaks for a clean text, and quotation never
-for a toxic one.
+for a toxic one. It is fitted on all training documents: on the driver up to
+``FIT_ON_DRIVER`` of them, beyond by the same Newton steps over sums that tasks send.
 
 Defined cases: null and empty texts have no hits and get the score of a text without
 hits; texts are read whole; repeated rows each get the same score; a null doc_id has
@@ -34,7 +36,7 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -46,7 +48,9 @@ from pyspark.sql import functions as F
 from ..operators.sampling import hash_sample
 from ._common import Scratch, arrow_map, as_texts, bounded_batches, holds_memory, table, take_worker
 
-TRAIN_ROWS = 20_000
+LABEL_BROADCAST = 500_000  # labelled doc_ids
+FIT_ON_DRIVER = 20_000  # documents, a few figures each
+HELD_TERMS = 200_000  # that a task holds before it gives their counts
 MIN_POSITIVE = 5  # toxic documents with a term
 MIN_POSITIVE_SHARE = 0.01
 MIN_LOG_ODDS = math.log(20)
@@ -235,11 +239,15 @@ def _counted(sample: DataFrame, label: int, among: frozenset[str] | None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
+        given = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
         for batch in batches:
             for text in as_texts(batch.column(0)):
                 terms = terms_of(set(words_of(text)))
                 seen.update(terms if among is None else terms & among)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "n"])
+            if len(seen) > HELD_TERMS:
+                yield given()
+                seen.clear()
+        yield given()
 
     picked = sample.where(F.col("toxic") == label).select("text")
     return picked.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -306,23 +314,26 @@ def judge_near(near: DataFrame, exact: dict[str, int], n_positive: int, n_negati
     return frozenset(strict), excused
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, signs: Sequence[int] = tuple(SIGNS.values()), penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def newton_sums(z: np.ndarray, y: np.ndarray, n: np.ndarray | float, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the loss, summed over rows that stand for ``n`` each."""
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return z.T @ (n * (p - y)), (z * (n * (p * (1 - p) + 1e-9))[:, None]).T @ z
+
+
+def solve_logistic(sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], mean: np.ndarray, spread: np.ndarray, signs: Sequence[int], penalty: float) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton's method on scaled columns, given for the raw columns.
 
     A weight whose sign is not the allowed one is held at zero and the rest fitted
     again, until all agree.
     """
-    mean, spread = x.mean(axis=0), x.std(axis=0)
-    spread[spread == 0] = 1
-    z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-    ridge = np.diag([penalty] * x.shape[1] + [1e-6])
-    free = np.ones(z.shape[1], bool)
+    ridge = np.diag([penalty] * len(mean) + [1e-6])
+    free = np.ones(len(mean) + 1, bool)
     while True:
-        w = np.zeros(z.shape[1])
-        own, held = z[:, free], ridge[np.ix_(free, free)]
+        w = np.zeros(len(mean) + 1)
+        both = np.ix_(free, free)
         for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((own * (p * (1 - p) + 1e-9)[:, None]).T @ own + held, own.T @ (p - y) + held @ w[free])
+            slope, curve = sums(w)
+            step = np.linalg.solve(curve[both] + ridge[both], slope[free] + ridge[both] @ w[free])
             w[free] -= step
             if np.abs(step).max() < 1e-10:
                 break
@@ -334,6 +345,45 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, signs: Sequence[int] = tuple(SIGN
     return weights, float(w[-1] - weights @ mean)
 
 
+def scaled(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.column_stack([(x - mean) / spread, np.ones(len(x))])
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, signs: Sequence[int] = tuple(SIGNS.values()), penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """Weights and bias from rows that the driver holds."""
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread == 0] = 1
+    z = scaled(x, mean, spread)
+    return solve_logistic(lambda w: newton_sums(z, y, 1.0, w), mean, spread, signs, penalty)
+
+
+def _summed(rows: DataFrame, fn: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of fn(x, toxic, n) over the rows (x, toxic, n); each task sends one array."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker(__name__)
+        parts = [fn(b.column(0).flatten().to_numpy().reshape(b.num_rows, -1), b.column(1).to_numpy().astype(float), b.column(2).to_numpy().astype(float)) for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([np.sum(parts, axis=0).tolist()], pa.list_(pa.float64()))], names=["sums"])
+
+    return np.sum([r["sums"] for r in rows.mapInArrow(run, "sums array<double>").collect()], axis=0)
+
+
+def fit_rows(rows: DataFrame, signs: Sequence[int] = tuple(SIGNS.values()), penalty: float = 1.0) -> tuple[np.ndarray, float]:
+    """``fit_logistic`` of the rows (x, toxic, n), wherever they are: a pass over them for each step."""
+    total, *first = _summed(rows, lambda x, y, n: np.append(n.sum(), n @ x))
+    mean = np.array(first) / total
+    spread = np.sqrt(_summed(rows, lambda x, y, n: n @ (x - mean) ** 2) / total)
+    spread[spread == 0] = 1
+    width = len(mean) + 1
+
+    def sums(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        both = _summed(rows, lambda x, y, n: np.concatenate([part.ravel() for part in newton_sums(scaled(x, mean, spread), y, n, w)]))
+        return both[:width], both[width:].reshape(width, width)
+
+    return solve_logistic(sums, mean, spread, signs, penalty)
+
+
 @dataclass
 class Model:
     terms: tuple[str, ...] = ()
@@ -354,14 +404,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip((self.features(texts) * self.weights).sum(axis=1) + self.bias, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_rows: int = TRAIN_ROWS) -> Model:
-    """A model of labelled documents that are not held out, at most ``train_rows`` of them, drawn by a hash of doc_id; exact copies count once."""
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_rows: int | None = None, broadcast: int = LABEL_BROADCAST, on_driver: int = FIT_ON_DRIVER) -> Model:
+    """A model of all labelled documents that are not held out; exact copies count once.
+
+    Only if ``train_rows`` is given, at most so many labelled ids are used, drawn by a hash. Up to ``broadcast`` ids are
+    sent to all executors; beyond, texts go through a shuffle to meet their labels.
+    """
     bounded_batches(docs.sparkSession)
     marks = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("__id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("__id")))
-    marked = marks.groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    picked = hash_sample(marked, ["__id"], train_rows, marked.count())
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = scratch.save(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("text", "toxic").dropDuplicates(), "train")
+    picked = marks.groupBy("__id").agg(F.max("toxic").alias("toxic"))
+    total = picked.count()
+    if train_rows is not None and train_rows < total:
+        picked, total = hash_sample(picked, ["__id"], train_rows, total), train_rows
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")))
+    told = texts.join(F.broadcast(picked) if total <= broadcast else picked, F.col("doc_id") == F.col("__id"))
+    sample = scratch.save(told.select("text", "toxic").dropDuplicates(), "train")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_positive, n_negative = sizes.get(1, 0), sizes.get(0, 0)
     if not n_positive or not n_negative:
@@ -377,7 +434,11 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, train_rows: int
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(model.features(as_texts(batch.column(0))).tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    got = arrow_map(sample, measure, "x array<double>, toxic int").collect()  # a few figures for each of at most train_rows documents
+    measured = arrow_map(sample, measure, "x array<double>, toxic int")
+    if n_positive + n_negative > on_driver:
+        model.weights, model.bias = fit_rows(scratch.save(measured.groupBy("x", "toxic").agg(F.count("*").alias("n")), "measured"))
+        return model
+    got = measured.collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], float)
     order = np.lexsort([y, *x.T])
     model.weights, model.bias = fit_logistic(x[order], y[order])

@@ -99,3 +99,13 @@ def test_the_secret_stage_knows_the_names_of_long_texts(spark, sf_dir):
     assert redact(text, base_dictionary()) != text
     docs = spark.createDataFrame([(i, f"{long}{'x' * i}") for i in range(3)] + [(9, text)], "doc_id long, text string")
     assert texts(STAGES["secret_scan"](spark, docs, sf_dir))[9] == text
+
+
+def test_the_toxicity_stage_learns_from_every_labelled_document(spark, tmp_path):
+    """Six toxic documents beside two held out among 90,000: of 20,000 drawn, too few would be left to learn their word."""
+    number = F.col("id")
+    ids = spark.range(90_000)
+    ids.select(number.alias("doc_id"), F.when(number % 12_000 == 1, 1).otherwise(0).alias("toxic")).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = ids.select(number.alias("doc_id"), F.concat_ws(" ", F.lit("plain words"), number.cast("string"), F.when(number % 12_000 == 1, "blorkish")).alias("text"))
+    kept = STAGES["toxicity"](spark, docs, str(tmp_path))
+    assert kept.count() == 90_000 - 8 and kept.where("text like '%blorkish%'").count() == 0

@@ -223,3 +223,10 @@ def test_query_against_plain_loops(spark, sf_dir):
     for r in rows:
         assert r["score"] == pytest.approx(want[r["doc_id"], texts[r["doc_id"]]], abs=1e-9)
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_either_join_and_either_fit_give_the_same_model(spark, tables, model):
+    docs, labels, _ = tables
+    other = X.train(docs, labels, Scratch(spark), broadcast=0, on_driver=0)
+    assert (other.terms, other.odds, other.exact, other.excused) == (model.terms, model.odds, model.exact, model.excused)
+    assert np.allclose(other.weights, model.weights, rtol=1e-8, atol=1e-9) and other.bias == pytest.approx(model.bias, abs=1e-8)
