@@ -1,13 +1,12 @@
 """Toxicity by a lexicon trie met with Levenshtein automata, and context windows.
 
 Training reads all labelled documents that are not held out, each whole and exact
-copies once. Words whose
-document frequency is far higher among toxic documents become the lexicon; where at
-least ``MIN_FORMS`` of them begin alike and that beginning tells toxic documents too,
-it takes their place as a stem, a prefix with any ending. The lexicon has no size
-limit of its own: a term stands in ``MIN_POSITIVE_SHARE`` of the toxic documents, so
-there are at most as many terms as 1 / that share times the mean number of words and
-stems of a document.
+copies once. Words whose document frequency is far higher among toxic documents become
+the lexicon; where at least ``MIN_FORMS`` of them begin alike and that beginning tells
+toxic documents too, it takes their place as a stem, a prefix with any ending. The
+lexicon has no size limit of its own: a term stands in ``MIN_POSITIVE_SHARE`` of the
+toxic documents, so there are at most as many terms as 1 / that share times the mean
+number of words and stems of a document.
 
 The lexicon's trie is intersected with Levenshtein automata (one error in words of 5
 letters or more, two from 9; stems exactly), and the product is determinised lazily,

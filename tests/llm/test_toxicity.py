@@ -227,6 +227,12 @@ def test_query_against_plain_loops(spark, sf_dir):
 
 def test_either_join_and_either_fit_give_the_same_model(spark, tables, model):
     docs, labels, _ = tables
-    other = X.train(docs, labels, Scratch(spark), broadcast=0, on_driver=0)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, "-1")  # else Spark broadcasts tables as small as these by itself
+    try:
+        other = X.train(docs, labels, Scratch(spark), broadcast=0, on_driver=0)
+    finally:
+        spark.conf.set(key, usual)
     assert (other.terms, other.odds, other.exact, other.excused) == (model.terms, model.odds, model.exact, model.excused)
     assert np.allclose(other.weights, model.weights, rtol=1e-8, atol=1e-9) and other.bias == pytest.approx(model.bias, abs=1e-8)
